@@ -2,16 +2,70 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import lines, minhash, substring
+from millrace.llm import ann, bpe, chat, lines, minhash, mixing, quality, secrets, sharding, substring
+
+#: The public tokenizer file that op 9 uses; a parameter of the operator.
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ivf_pq_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return ann.search(rows, rows.where("vec_id % 50 = 0"), k=5)
+
+
+def op2_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.shuffle_into_shards(table(spark, sf_dir, "documents").select("doc_id", "text"), shards=16)
+    text = F.coalesce("text", F.lit(""))
+    return rows.select("doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op3_entropy_balanced_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.mix_sources(table(spark, sf_dir, "documents"), weights=(1, 2, 3), most=3)
+    return rows.select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+def op4_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality.apply_policy(quality.ledger(table(spark, sf_dir, "documents").select("doc_id", "text")), "v2")
+    base = F.col("fail_bits").bitwiseAND(F.lit(quality.mask("v1"))) != 0
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "fail_bits")
+
+
+def op5_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    said = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    of = lambda *kinds: F.filter("spans", lambda x: x["kind"].isin(*kinds))
+    count = lambda kind: F.size(of(kind)).cast("long")
+    return rows.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"), F.sha2(said(of(*secrets.BASE)), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
+
+
+def op6_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.link_quotations(table(spark, sf_dir, "conversations"))
+
+
+def ids_digest(ids: Column) -> Column:
+    return F.sha2(F.array_join(ids.cast("array<string>"), ","), 256)
+
+
+def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path()
+    coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    coded = coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids_digest(F.col("ids")).alias("ids_sha256"), "ids")
+    return bpe.decode(coded, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op7_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=5, percent=85)
 
@@ -29,6 +83,38 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+OP4_SQL = rf"""
+WITH w AS (SELECT doc_id, {WORDS} AS w, coalesce(text, '') AS t FROM documents),
+l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM w),
+d AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+p AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM w WHERE len(w) >= 3),
+k AS (SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS k FROM p),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS n FROM k) WHERE n > 1),
+c AS (SELECT doc_id, count(DISTINCT i) AS n FROM (SELECT doc_id, i + unnest(range(0, 3)) AS i FROM r) GROUP BY doc_id),
+m AS (SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+   len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(d.n_dup, 0)::BIGINT AS n_dup_lines,
+   coalesce(c.n, 0)::BIGINT AS n_repeat_words, coalesce(d.n_lines, 0) AS n_lines
+   FROM w LEFT JOIN d ON d.doc_id = w.doc_id LEFT JOIN c ON c.doc_id = w.doc_id),
+b AS (SELECT *, (CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END
+   + CASE WHEN n_symbols > n_words THEN 4 ELSE 0 END + CASE WHEN word_chars > 20 * n_words THEN 8 ELSE 0 END
+   + CASE WHEN word_chars < 2 * n_words THEN 16 ELSE 0 END + CASE WHEN 10 * n_dup_lines > 8 * n_lines THEN 32 ELSE 0 END)::BIGINT AS fail_bits FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM b
+"""
+
+OP6_SQL = r"""
+WITH l AS (SELECT conv_id, turn, i, line, length(regexp_extract(line, '^(?:[\x20\x09]*>)+')) - length(replace(regexp_extract(line, '^(?:[\x20\x09]*>)+'), '>', '')) AS level
+   FROM (SELECT conv_id, turn, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS i FROM conversations)),
+k AS (SELECT *, lower(trim(regexp_replace(regexp_replace(line, '^(?:[\x20\x09]*>)+', ''), '[\x20\x09-\x0D]+', ' ', 'g'))) AS k FROM l),
+q AS (SELECT q.conv_id, q.turn, q.i, q.level, max(o.turn) AS origin FROM k q LEFT JOIN k o ON o.conv_id = q.conv_id AND o.k = q.k AND o.level = 0 AND o.turn < q.turn
+   WHERE q.level > 0 AND q.k <> '' GROUP BY ALL),
+v AS (SELECT conv_id, turn, origin, count(*) AS n, count(*) FILTER (level = o) AS votes FROM (SELECT *, min(level) OVER (PARTITION BY conv_id, turn) AS o FROM q) GROUP BY ALL),
+r AS (SELECT conv_id, turn, sum(n) AS n_quoted, coalesce(sum(n) FILTER (origin IS NOT NULL), 0) AS n_linked,
+   (arg_max(origin, (votes, n, origin)) FILTER (origin IS NOT NULL)) AS reply_to FROM v GROUP BY ALL),
+t AS (SELECT conv_id, turn, trim(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (level = 0), ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS text FROM l GROUP BY ALL)
+SELECT m.conv_id, m.turn, m.role, t.text, coalesce(r.n_quoted, 0)::BIGINT AS n_quoted, coalesce(r.n_linked, 0)::BIGINT AS n_linked, r.reply_to
+FROM conversations m JOIN t ON t.conv_id = m.conv_id AND t.turn = m.turn LEFT JOIN r ON r.conv_id = m.conv_id AND r.turn = m.turn
+"""
+
 OP7_SQL = rf"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({LOWERED}, '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN []
@@ -70,9 +156,11 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_
 FROM m GROUP BY doc_id
 """
 
-QUERIES = {
-    "op7_minhash_near_duplicates": op7_minhash_near_duplicates,
-    "op8_substring_dedup": op8_substring_dedup,
-    "op10_line_dedup": op10_line_dedup,
-}
-ORACLES = {"op7_minhash_near_duplicates": OP7_SQL, "op8_substring_dedup": OP8_SQL, "op10_line_dedup": OP10_SQL}
+QUERIES = {f.__name__: f for f in (
+    op1_ivf_pq_neighbours, op2_external_shuffle, op3_entropy_balanced_mix, op4_quality_ledger, op5_linked_secrets,
+    op6_quotation_linking, op7_minhash_near_duplicates, op8_substring_dedup, op9_bpe_round_trip, op10_line_dedup,
+)}
+ORACLES = {
+    "op4_quality_ledger": OP4_SQL, "op6_quotation_linking": OP6_SQL, "op7_minhash_near_duplicates": OP7_SQL,
+    "op8_substring_dedup": OP8_SQL, "op10_line_dedup": OP10_SQL,
+}

@@ -18,17 +18,19 @@ words are removed; null and empty texts have no words; extra columns are ignored
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import _words as W
-from millrace.llm._shared import id_key, new_path, ready, settled, slices, text_bytes, unsettle
+from millrace.llm._shared import id_key, new_path, ready, slices, text_bytes
 
 DEPTH = 2
 _SALT = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -93,43 +95,66 @@ def sketch(docs: DataFrame, text_col: str, k: int, bits: int, ranges: int) -> st
             yield out()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, seen = None, None
+        at, seen, done = None, None, []
         for batch in batches:
             for r, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if r != at:
                     if at is not None:
-                        yield plane(at, seen)
+                        done.append(_write_plane(path, at, seen))
                     at, seen = r, np.zeros(width, dtype=np.uint8)
                 cells, counts = np.unique(_unpack(raw.as_py()), return_counts=True)
                 seen[cells] = np.minimum(seen[cells] + counts.astype(np.uint8), 2)
         if at is not None:
-            yield plane(at, seen)
-
-    def plane(r: int, seen: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([np.packbits(seen > 1, bitorder="little").tobytes()], pa.binary())], names=["r", "plane"])
+            done.append(_write_plane(path, at, seen))
+        yield pa.RecordBatch.from_arrays([pa.array(done, pa.int32())], names=["r"])
 
     parts = docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(partial, "r int, cells binary")
-    merged = parts.repartitionById(ranges, F.col("r")).sortWithinPartitions("r").mapInArrow(merge, "r int, plane binary")
-    merged.write.option("compression", "none").option("parquet.enable.dictionary", "false").parquet(path)
+    spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(spark._jvm.org.apache.hadoop.fs.Path(path))
+    parts.repartitionById(ranges, F.col("r")).sortWithinPartitions("r").mapInArrow(merge, "r int").agg(F.count("*")).first()
     return path
 
 
-def load_sketch(path: str, bits: int, ranges: int) -> np.ndarray:
-    """The merged plane as bytes; read once a task from the shared folder."""
-    import pyarrow.parquet as pq
+def _write_plane(path: str, r: int, seen: np.ndarray) -> int:
+    """One range's bits as a raw file. A task that runs twice writes the same bytes; a move makes each whole."""
+    fs, at = pafs.FileSystem.from_uri(path)
+    part = f"{at}/.{r}-{uuid.uuid4().hex}"
+    with fs.open_output_stream(part) as out:
+        out.write(np.packbits(seen > 1, bitorder="little").tobytes())
+    fs.move(part, f"{at}/{r}.bits")
+    return r
+
 
-    size = (DEPTH << bits) // ranges // 8
-    out = np.zeros(size * ranges, dtype=np.uint8)
+def load_sketch(path: str, bits: int, ranges: int) -> list[np.ndarray | None]:
+    """The merged plane by range, once a task: mapped where the shared folder is a mounted file system (one copy in the
+    page cache then serves a whole machine), else read. A range without windows has no file."""
     fs, at = pafs.FileSystem.from_uri(path)
+    out: list[np.ndarray | None] = [None] * ranges
     for f in fs.get_file_info(pafs.FileSelector(at)):
-        if f.path.endswith(".parquet"):
-            with fs.open_input_file(f.path) as src:
-                for batch in pq.ParquetFile(src).iter_batches(batch_size=1):
-                    for r, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-                        out[r * size : (r + 1) * size] = np.frombuffer(raw.as_buffer(), dtype=np.uint8)
+        name = f.path.rsplit("/", 1)[-1]
+        if name.endswith(".bits") and not name.startswith("."):
+            if isinstance(fs, pafs.LocalFileSystem):
+                got = np.memmap(f.path, dtype=np.uint8, mode="r")
+            else:
+                with fs.open_input_stream(f.path) as src:
+                    got = np.frombuffer(src.read(), dtype=np.uint8)
+            out[int(name[:-5])] = got
     return out
 
 
+def set_in(planes: list[np.ndarray | None], cells: np.ndarray, width: int) -> np.ndarray:
+    """Which of the cells are set."""
+    hit = np.zeros(len(cells), dtype=bool)
+    of = (cells // np.uint64(width)).astype(np.int64)
+    order = np.argsort(of, kind="stable")
+    cut = np.searchsorted(of[order], np.arange(len(planes) + 1))
+    for r, (a, b) in enumerate(zip(cut[:-1], cut[1:])):
+        if b > a and planes[r] is not None:
+            take = order[a:b]
+            c = cells[take] - np.uint64(r * width)
+            hit[take] = (planes[r][c >> np.uint64(3)] >> (c & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+    return hit
+
+
 def _runs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Where a new key begins in two sorted arrays."""
     new = np.ones(len(a), dtype=bool)
@@ -142,6 +167,7 @@ def repeated_windows(docs: DataFrame, k: int, path: str, bits: int, ranges: int,
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plane, held, n = None, [], 0
+        width = (DEPTH << bits) // ranges
         names = ["g", "doc", "fp", "entries"]
 
         def out() -> Iterator[pa.RecordBatch]:
@@ -160,7 +186,7 @@ def repeated_windows(docs: DataFrame, k: int, path: str, bits: int, ranges: int,
             yield from rows((key[left] >> np.uint64(40)).astype(np.int64) * groups >> 24, key[left], key2[left], doc[left], fp[left], pos[left])
 
         def rows(g, key, key2, doc, fp, pos) -> Iterator[pa.RecordBatch]:
-            """One row per group: its windows' arrays, packed. g = -1: settled, by document."""
+            """One row per group: its windows' arrays, packed. g = -1: decided, a row per document, which any group may carry."""
             if not len(g):
                 return
             if g[0] < 0:
@@ -168,7 +194,7 @@ def repeated_windows(docs: DataFrame, k: int, path: str, bits: int, ranges: int,
                 doc, fp, pos = doc[order], fp[order], pos[order]
                 new = np.flatnonzero(_runs(doc, fp))
                 cut = np.append(new, len(doc))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(new), -1, np.int32)), pa.array(doc[new]), pa.array(fp[new]), pa.array([pos[a:b].astype(np.int32).tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array((doc[new] % groups).astype(np.int32)), pa.array(doc[new]), pa.array(fp[new]), pa.array([pos[a:b].astype(np.int32).tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())], names=names)
                 return
             cut = np.searchsorted(g, np.arange(groups + 1))
             made = [(r, zlib.compress(_entries(key[a:b], key2[a:b], doc[a:b], fp[a:b], pos[a:b]), 1)) for r, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
@@ -180,11 +206,9 @@ def repeated_windows(docs: DataFrame, k: int, path: str, bits: int, ranges: int,
             ids, fps = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for i, j in slices(off):
                 (h, h2), at, word_off, n_words = _window_hashes(data[off[i] : off[j]], off[i : j + 1], k, 2)
-                hit = np.ones(len(h), dtype=bool)
+                hit = np.arange(len(h))
                 for row in range(DEPTH):
-                    c = _cells(h, row, bits)
-                    hit &= (plane[c >> np.uint64(3)] >> (c & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-                hit = np.flatnonzero(hit)
+                    hit = hit[set_in(plane, _cells(h[hit], row, bits), width)]
                 of = np.repeat(np.arange(i, j), np.maximum(n_words - k + 1, 0))[hit]
                 held.append((h[hit], h2[hit].astype(np.uint32), ids[of], fps[of], at[hit] - word_off[of - i]))
                 n += len(hit)
@@ -197,6 +221,10 @@ def repeated_windows(docs: DataFrame, k: int, path: str, bits: int, ranges: int,
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
         for batch in batches:
+            known = batch.filter(pa.compute.is_valid(batch.column(1)))
+            if known.num_rows:
+                yield pa.RecordBatch.from_arrays(known.columns[1:], names=["doc", "fp", "places"])
+            batch = batch.filter(pa.compute.is_null(batch.column(1)))
             for g, raw in zip(batch.column(0).to_pylist(), batch.column(3)):
                 if g != at and held:
                     yield from judged(held)
@@ -223,10 +251,8 @@ def repeated_windows(docs: DataFrame, k: int, path: str, bits: int, ranges: int,
                 b = min(a + 4096, len(new))
                 yield pa.RecordBatch.from_arrays([pa.array(doc[new[a:b]]), pa.array(fp[new[a:b]]), pa.array([pos[cut[x] : cut[x + 1]].astype(np.int32).tobytes() for x in range(a, b)], pa.binary())], names=["doc", "fp", "places"])
 
-    found = settled(docs.mapInArrow(candidates, "g int, doc long, fp long, entries binary"), "windows")
-    known = found.where("g < 0").select("doc", "fp", F.col("entries").alias("places"))
-    judged_rows = found.where("g >= 0").repartitionById(groups, F.col("g")).sortWithinPartitions("g").mapInArrow(exact, "doc long, fp long, places binary")
-    return known.union(judged_rows)
+    found = docs.mapInArrow(candidates, "g int, doc long, fp long, entries binary")
+    return found.repartitionById(groups, F.col("g")).sortWithinPartitions("g").mapInArrow(exact, "doc long, fp long, places binary")
 
 
 def _entries(key, key2, doc, fp, pos) -> bytes:
@@ -259,7 +285,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = ready(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
     # a window takes 5 bytes of text or more in most languages; 8 bits a window over both rows
-    bits = int(np.clip(np.ceil(np.log2(max(size, 1) / 5 * 8 / DEPTH)), 16, np.log2(most_cells // DEPTH)))
+    bits = int(np.clip(np.round(np.log2(max(size, 1) / 5 * 8 / DEPTH)), 16, np.log2(most_cells // DEPTH)))
     ranges = max(1, (DEPTH << bits) >> 24)
     path = sketch(docs, text_col, k, bits, ranges)
     rows = docs.select(id_key(F.col(id_col)).alias("doc"), F.xxhash64(text_col).alias("fp"), F.col(text_col).cast("string").alias("t"), F.col(id_col).cast("long").alias("doc_id"))
