@@ -70,6 +70,21 @@ class Index:
         left = x - self.centres[at]
         return at, np.stack([_nearest(left[:, a:b], book) for (a, b), book in zip(zip(self.cuts, self.cuts[1:]), self.books)], axis=1).astype(np.uint8)
 
+    def probes_for(self, sample: np.ndarray, k: int, recall: float, seed: int = 11) -> int:
+        """Lists a query must look into so that ``recall`` of its true neighbours, taken within the sample, lie there."""
+        asked = np.random.default_rng(seed).choice(len(sample), min(256, len(sample)), replace=False)
+        near = sample[asked] @ sample.T
+        near[np.arange(len(asked)), asked] = -np.inf
+        k = min(k, len(sample) - 1)
+        if k < 1:
+            return len(self.centres)
+        true = np.argpartition(-near, k - 1, axis=1)[:, :k]
+        order = np.argsort(-(sample[asked] @ self.centres.T), axis=1)
+        rank = np.empty_like(order)
+        np.put_along_axis(rank, order, np.broadcast_to(np.arange(len(self.centres)), order.shape), axis=1)
+        needed = np.sort(np.take_along_axis(rank, _nearest(sample, self.centres)[true], axis=1).ravel())
+        return int(needed[min(len(needed) - 1, int(np.ceil(len(needed) * recall)) - 1)]) + 1
+
     def tables(self, q: np.ndarray) -> np.ndarray:
         """Products of queries with all codewords: queries x subspaces x codewords."""
         return np.stack([q[:, a:b] @ book.T for (a, b), book in zip(zip(self.cuts, self.cuts[1:]), self.books)], axis=1)
@@ -89,10 +104,11 @@ def _unit(column: pd.Series) -> np.ndarray:
     return (x / np.sqrt((x * x).sum(axis=1, keepdims=True))).astype(np.float32)
 
 
-def search(rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, probe_share: float = 0.125, least_probes: int = 24, refine: int = 100) -> DataFrame:
+def search(rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, recall: float = 0.98, least_probes: int = 16, refine: int = 250) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each row of ``queries`` its ``k`` nearest among ``rows`` but itself.
 
-    A query probes ``probe_share`` of the lists, ``least_probes`` at least, and scores ``refine`` candidates exactly."""
+    A query probes as many lists as the sample's own neighbours need for ``recall`` (``least_probes`` at least), and
+    scores ``refine`` candidates exactly."""
     spark = ready(rows.sparkSession)
     good = valid_vectors(rows, id_col, vector_col)
     dims = good.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
@@ -103,11 +119,11 @@ def search(rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_c
     asked = valid_vectors(queries, id_col, vector_col).where(F.size("v") == dims["d"])
     n = dims["n"]
     lists = int(np.clip(2 ** round(np.log2(max(1.0, n**0.5))), 1, MOST_LISTS))
-    probes = int(min(lists, max(least_probes, round(lists * probe_share))))
     sample = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(4096, SAMPLE_PER_LIST * lists)).select("v").toPandas()
-    index = Index(_unit(sample["v"]), min(lists, len(sample)))
+    units = _unit(sample["v"])
+    index = Index(units, min(lists, len(units)))
     lists = len(index.centres)
-    probes = min(probes, lists)
+    probes = min(lists, max(least_probes, index.probes_for(units, k, recall)))
     shared = spark.sparkContext.broadcast(index)  # bounded by MOST_LISTS and CODEWORDS
 
     def code(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
