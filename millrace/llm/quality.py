@@ -70,7 +70,11 @@ def measured(docs: DataFrame, text_col: str) -> DataFrame:
     d = d.select(*told, F.sort_array(F.transform(_beside(F.col("mr_e"), lambda e: e["k"]), lambda e: e["p"])).alias("mr_p"))
     p = F.col("mr_p")
     covered = F.transform(p, lambda v, i: F.least(F.lit(3), v - F.coalesce(F.get(p, i - 1), v - 3)))
-    return d.select(*told, F.aggregate(covered, F.lit(0).cast("long"), lambda a, x: a + x).alias("n_repeat_words"))
+    count = F.aggregate(covered, F.lit(0).cast("long"), lambda a, x: a + x)
+    # never true, but not deterministic: a filter on measurements then isn't pushed below, where it would put each
+    # array's expression into lambdas that run once per element
+    barrier = F.monotonically_increasing_id() < 0
+    return d.select(*told, F.when(barrier, F.lit(0).cast("long")).otherwise(count).alias("n_repeat_words"))
 
 
 def ledger(docs: DataFrame, text_col: str = "text") -> DataFrame:
