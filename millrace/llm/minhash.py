@@ -1,7 +1,7 @@
 """MinHash near-duplicates with b-bit signatures.
 
 One pass over the texts gives each document its set's size, a digest of the whole set, band keys, and a signature that
-holds the low two bits of each minimum (128 of them in four longs).  Documents with one and the same set collapse into
+holds the low two bits of each minimum (512 of them in sixteen longs).  Documents with one and the same set collapse into
 a class first, so thousands of copies cost one row.  Bands give candidates; the share of equal low bits, corrected for
 chance collisions, estimates their similarity; candidates near the threshold or above are confirmed on full sets.
 
@@ -30,8 +30,11 @@ from millrace.llm._shared import ready, settled, slices, text_bytes, unsettle
 
 #: 32 bands of 4 minima: a pair at similarity 0.8 shares no band with a probability of 5e-8, at 0.85 of 6e-11.
 ROWS, BANDS = 4, 32
-MINIMA = ROWS * BANDS
+#: Minima in a signature, two bits each; the first of them make the bands. An estimate's standard deviation is 0.019 near 0.85.
+MINIMA = 512
 BITS = 2
+LONGS = MINIMA * BITS // 64
+SIGNATURE = [f"s{i}" for i in range(LONGS)]
 #: An estimate may fall short of the truth by six standard deviations of its own before a candidate is left out.
 DEVIATIONS = 6.0
 
@@ -39,7 +42,7 @@ _rng = np.random.default_rng(20240229)
 _A = (_rng.integers(0, 2**32, MINIMA, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 _B = _rng.integers(0, 2**32, MINIMA, dtype=np.uint64).astype(np.uint32)
 
-FEATURES = "doc_id long, fp long, n_shingles long, digest binary, bands array<long>, s0 long, s1 long, s2 long, s3 long"
+FEATURES = "doc_id long, fp long, n_shingles long, digest binary, bands array<long>, " + ", ".join(f"{s} long" for s in SIGNATURE)
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -67,7 +70,7 @@ def shingle_set(text: str, k: int) -> np.ndarray:
 
 
 def _signatures(sets: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys (texts x BANDS) and packed low bits (texts x 4 longs)."""
+    """Band keys (texts x BANDS) and packed low bits (texts x LONGS)."""
     x = (sets >> np.uint64(32)).astype(np.uint32)
     low = np.empty((MINIMA, len(starts)), dtype=np.uint32)
     t = np.empty_like(x)
@@ -82,7 +85,7 @@ def _signatures(sets: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
             key ^= low[j * ROWS + r]
             W.mix(key)
         keys[:, j] = key
-    packed = np.zeros((len(starts), 4), dtype=np.uint64)
+    packed = np.zeros((len(starts), LONGS), dtype=np.uint64)
     for i in range(MINIMA):
         packed[:, i // 32] |= (low[i] & np.uint32(3)).astype(np.uint64) << np.uint64(2 * (i % 32))
     return keys.view(np.int64), packed.view(np.int64)
@@ -92,7 +95,7 @@ def features(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     """One row per document with an id: set size, set digest, band keys and signature (null without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), *((f"s{i}", pa.int64()) for i in range(4))])
+        kinds = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), *((s, pa.int64()) for s in SIGNATURE)])
         for batch in batches:
             data, off = text_bytes(batch.column(2))
             for i, j in slices(off):
@@ -108,9 +111,9 @@ def features(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
                 lens[rows] = BANDS
                 none = lens == 0
                 bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lens)]), pa.int32()), pa.array(keys.ravel()))
-                sig = np.zeros((j - i, 4), dtype=np.int64)
+                sig = np.zeros((j - i, LONGS), dtype=np.int64)
                 sig[rows] = packed
-                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], batch.column(1)[i:j], pa.array(n), pa.array(digest, pa.binary()), bands, *(pa.array(sig[:, c], mask=none) for c in range(4))], schema=kinds)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], batch.column(1)[i:j], pa.array(n), pa.array(digest, pa.binary()), bands, *(pa.array(sig[:, c], mask=none) for c in range(LONGS))], schema=kinds)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("fp"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
     return rows.mapInArrow(run, FEATURES)
@@ -119,7 +122,7 @@ def features(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
 def estimate(a: str, b: str) -> Column:
     """Similarity from two signatures: the share of equal two-bit groups, less what chance makes equal."""
     ones = F.lit(0)
-    for i in range(4):
+    for i in range(LONGS):
         x = F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))
         ones = ones + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
     chance = 2.0**-BITS
@@ -149,6 +152,7 @@ def confirmed(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, k: int, perce
 
     near = (
         pairs.alias("p").join(sigs.alias("x"), F.col("p.a") == F.col("x.node")).join(sigs.alias("y"), F.col("p.b") == F.col("y.node"))
+        .where(100 * F.least("x.n_shingles", "y.n_shingles") >= percent * F.greatest("x.n_shingles", "y.n_shingles"))
         .where(estimate("x", "y") >= least_estimate(percent)).select("p.a", "p.b")
     )
     rows = near.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
@@ -178,21 +182,33 @@ def components(links: DataFrame) -> DataFrame:
 
 def cross_pairs(members: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components within a bucket whose signatures are near: compared in blocks, never listed."""
-    bar = least_estimate(percent)
     chance = 2.0**-BITS
+    most_wrong = int((1 - chance - least_estimate(percent) * (1 - chance)) * MINIMA)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         node, comp = frame["node"].to_numpy(), frame["comp"].to_numpy()
-        sig = frame[["s0", "s1", "s2", "s3"]].to_numpy(dtype=np.int64).view(np.uint64)
-        made = []
-        step = max(1, (1 << 20) // len(node))
-        for i in range(0, len(node), step):
-            x = sig[i : i + step, None, :] ^ sig[None, :, :]
-            wrong = np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(axis=2)
-            est = (1 - wrong / MINIMA - chance) / (1 - chance)
-            p, q = np.nonzero((est >= bar) & (node[i : i + step, None] < node[None, :]) & (comp[i : i + step, None] != comp[None, :]))
-            made.append(pd.DataFrame({"a": node[i + p], "b": node[q]}))
-        return pd.concat(made, ignore_index=True)
+        sig = frame[SIGNATURE].to_numpy(dtype=np.int64).view(np.uint64)
+        size = frame["n_shingles"].to_numpy()
+        names, which, counts = np.unique(comp, return_inverse=True, return_counts=True)
+        few = np.flatnonzero(which != np.argmax(counts))  # two members of the largest component need not meet
+        made = [pd.DataFrame({"a": node[:0], "b": node[:0]})]
+        step = max(1, (1 << 16) // len(node))
+        for i in range(0, len(few), step):
+            rows = few[i : i + step]
+            wrong = np.zeros((len(rows), len(node)), dtype=np.uint16)
+            for c in range(sig.shape[1]):
+                x = sig[rows, c][:, None] ^ sig[:, c][None, :]
+                x |= x >> np.uint64(1)
+                x &= np.uint64(0x5555555555555555)
+                wrong += np.bitwise_count(x)
+            near = wrong <= most_wrong
+            near &= which[rows][:, None] != which[None, :]
+            p, q = np.nonzero(near)
+            p = rows[p]
+            fits = 100 * np.minimum(size[p], size[q]) >= percent * np.maximum(size[p], size[q])
+            p, q = p[fits], q[fits]
+            made.append(pd.DataFrame({"a": np.minimum(node[p], node[q]), "b": np.maximum(node[p], node[q])}))
+        return pd.concat(made, ignore_index=True).drop_duplicates()
 
     return members.groupBy("key").applyInPandas(run, "a long, b long").distinct()
 
@@ -209,10 +225,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hubs = bands.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top").drop("top")
     buckets = settled(bands.distinct().join(hubs, "key"), "buckets")
     nodes = buckets.select("node").distinct()
-    sigs = settled(chosen.select(F.col("doc_id").alias("node"), "fp", "s0", "s1", "s2", "s3").join(nodes, "node", "left_semi").dropDuplicates(["node"]), "signatures")
+    sigs = settled(chosen.select(F.col("doc_id").alias("node"), "fp", "n_shingles", *SIGNATURE).join(nodes, "node", "left_semi").dropDuplicates(["node"]), "signatures")
     texts = settled(
         docs.select(F.col(id_col).cast("long").alias("node"), F.xxhash64(text_col).alias("fp"), F.col(text_col).cast("string").alias("text"))
-        .join(sigs.select("node", "fp"), ["node", "fp"], "left_semi").dropDuplicates(["node"]).select("node", "text"), "texts",
+        .join(sigs.select("node", "fp").hint("merge"), ["node", "fp"], "left_semi").dropDuplicates(["node"]).select("node", "text"), "texts",
     )
     star = buckets.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     links = settled(confirmed(star, sigs, texts, k, percent), "links1")
