@@ -7,7 +7,7 @@ source and is solved for all sources at once by Newton steps kept inside a brack
 histogram of (source, size), made once from the documents, never over documents.
 
 Rates become copies by systematic rounding along the sizes of a source, largest first, and then a correction: what the
-rounded tokens are off by is paid in copies of a few sizes, largest first (at most two candidate sizes an octave).
+rounded tokens are off by is paid in copies of a few sizes, largest first (at most ``PER_OCTAVE`` candidate sizes an octave).
 Within a size, the documents that get one copy more are chosen by hash.
 
 A source that holds a third of all rows, or a size that does, is split by a salt of the document's hash before anything
@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from millrace.llm._shared import WORD, ready, settled, unsettle
 
 SALTS = 64
+#: Sizes in an octave that may pay for what rounding leaves.
+PER_OCTAVE = 32
 ADDED = ("size", "source_size", "target", "rate", "copies", "taken")
 
 
@@ -95,13 +97,14 @@ def copies_by_size(hist: DataFrame, tilts: DataFrame, most: int) -> DataFrame:
     rows = rows.select("*", upto.alias("upto")).select("*", F.floor(F.col("upto") + 0.5).alias("end"))
     rows = rows.select("source", "size", "n", "target", "rate", (F.col("end") - F.coalesce(F.lag("end").over(along), F.lit(0))).alias("total"))
     rows = rows.withColumn("total", F.greatest(F.lit(0).cast("long"), F.least(F.col("total"), F.col("n") * most)))
-    # what is off, and the sizes that can pay for it: per octave the size with most room to add and that with most to take away
+    # what is off, and the sizes that can pay for it: in each octave those with most room to add or to take away
     off = F.sum(F.col("total") * F.col("size")).over(Window.partitionBy("source"))
     rows = rows.select("*", (F.round("target") - off).cast("long").alias("missing"))
-    room = rows.where("size > 0").select("*", F.floor(F.log2("size")).alias("octave"), (F.col("n") * most - F.col("total")).alias("add"))
-    pick = room.groupBy("source", "octave").agg(F.first("missing").alias("missing"), F.max(F.struct(F.least("add", F.lit(8)).alias("add"), "size", "total")).alias("a"), F.max(F.struct(F.least("total", F.lit(8)).alias("total"), "size", "add")).alias("t"))
-    each = F.struct(F.when(F.col("missing") > 0, F.col("a.size")).otherwise(F.col("t.size")).alias("size"), F.when(F.col("missing") > 0, F.col("a.add")).otherwise(F.col("t.total")).cast("long").alias("can"))
-    sized = pick.groupBy("source").agg(F.first("missing").alias("missing"), F.sort_array(F.collect_list(each), asc=False).alias("sizes"))  # an octave a row: at most 64
+    can = F.when(F.col("missing") > 0, F.col("n") * most - F.col("total")).otherwise(F.col("total"))
+    room = rows.where("size > 0 and missing <> 0").select("source", "size", "missing", can.alias("can"), F.floor(F.log2("size")).alias("octave")).where("can > 0")
+    first = F.row_number().over(Window.partitionBy("source", "octave").orderBy(F.least("can", F.lit(8)).desc(), F.col("size").desc()))
+    pick = room.select("*", first.alias("place")).where(F.col("place") <= PER_OCTAVE)
+    sized = pick.groupBy("source").agg(F.first("missing").alias("missing"), F.sort_array(F.collect_list(F.struct("size", F.col("can").cast("long").alias("can"))), asc=False).alias("sizes"))  # at most 64 octaves
     none = F.array().cast("array<struct<size:bigint,d:bigint>>")
 
     def pay(acc: Column, x: Column) -> Column:
