@@ -64,7 +64,7 @@ def test_mix(docs, rows):
     for r in got:
         assert r.target == pytest.approx(want[r.source]) and r.source_size == sizes[r.source]
     for s in sizes:
-        assert abs(taken[s] - want[s]) <= 0.02 * want[s] + 60
+        assert abs(taken[s] - want[s]) <= max(0.02 * want[s] + 60, biggest[s] / 2)  # a text goes in whole
     again = mixing.mix_sources(docs.repartition(2)).collect()
     say = lambda rs: sorted(((r.doc_id, r.size, r.taken) for r in rs), key=repr)
     assert say(got) == say(again)
