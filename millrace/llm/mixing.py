@@ -59,11 +59,11 @@ def _rate(tilt: Column, most: int) -> Column:
 def balance(hist: DataFrame, targets: DataFrame, most: int, steps: int = 40, near: float = 1e-9) -> DataFrame:
     """(source, source_size, target, tilt): lambda of every source; null where the target is out of what rates can
     reach (then all documents are taken ``most`` times). ``hist`` has source, size, n."""
-    scale = hist.groupBy("source").agg((F.sum(F.col("n") * F.col("size") * F.col("size")) / F.sum(F.col("n") * F.col("size"))).alias("scale"))
+    scale = hist.groupBy("source").agg(F.try_divide(F.sum(F.col("n") * F.col("size") * F.col("size")), F.sum(F.col("n") * F.col("size"))).alias("scale"))
     t = targets.alias("t").join(scale.alias("s"), F.col("t.source").eqNullSafe(F.col("s.source"))).select("t.*", "s.scale")
-    share = F.col("target") / F.col("source_size")
+    share = F.try_divide("target", "source_size")
     free = (share < most * (1 - 1e-12)) & (F.col("source_size") > 0)
-    start = F.log(share * (most - 1) / (most - share)) / F.col("scale")
+    start = F.try_divide(F.log(F.try_divide(share * (most - 1), most - share)), F.col("scale"))
     now = settled(t.select("source", "source_size", "target", "scale", F.when(free & (share > 0), start).alias("tilt"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"), F.lit(1.0).alias("off")), "tilts")
     for _ in range(steps):
         r = _rate(F.col("w.tilt") * F.col("h.size"), most)
@@ -74,8 +74,8 @@ def balance(hist: DataFrame, targets: DataFrame, most: int, steps: int = 40, nea
         j = now.alias("w").join(sums.alias("g"), F.col("w.source").eqNullSafe(F.col("g.source")), "left")
         gap = F.col("got") - F.col("target")
         low, high = F.when(gap <= 0, F.col("tilt")).otherwise(F.col("low")), F.when(gap >= 0, F.col("tilt")).otherwise(F.col("high"))
-        j = j.select("w.*", "g.got", "g.slope").select("source", "source_size", "target", "scale", "tilt", low.alias("low"), high.alias("high"), (F.abs(gap) / F.greatest(F.col("target"), F.lit(1.0))).alias("off"), (F.col("tilt") - gap / F.col("slope")).alias("newton"))
-        wide = 2 / F.col("scale")
+        j = j.select("w.*", "g.got", "g.slope").select("source", "source_size", "target", "scale", "tilt", low.alias("low"), high.alias("high"), (F.abs(gap) / F.greatest(F.col("target"), F.lit(1.0))).alias("off"), (F.col("tilt") - F.try_divide(gap, F.col("slope"))).alias("newton"))
+        wide = F.try_divide(F.lit(2.0), F.col("scale"))
         inner = (F.col("newton") > F.coalesce("low", F.col("tilt") - wide * 8)) & (F.col("newton") < F.coalesce("high", F.col("tilt") + wide * 8))
         halved = (F.coalesce("low", F.col("high") - wide) + F.coalesce("high", F.col("low") + wide)) / 2
         step = F.when(F.col("off") <= near, F.col("tilt")).when(inner, F.col("newton")).otherwise(halved)
