@@ -129,10 +129,10 @@ def estimate(a: str, b: str) -> Column:
     return (F.lit(1.0) - ones / F.lit(float(MINIMA)) - chance) / (1 - chance)
 
 
-def least_estimate(percent: int) -> float:
+def least_estimate(percent: int, minima: int = MINIMA) -> float:
     j, chance = percent / 100, 2.0**-BITS
     m = j + (1 - j) * chance
-    return j - DEVIATIONS * (m * (1 - m) / MINIMA) ** 0.5 / (1 - chance)
+    return j - DEVIATIONS * (m * (1 - m) / minima) ** 0.5 / (1 - chance)
 
 
 def confirmed(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -182,32 +182,40 @@ def components(links: DataFrame) -> DataFrame:
 
 def cross_pairs(members: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components within a bucket whose signatures are near: compared in blocks, never listed."""
-    chance = 2.0**-BITS
-    most_wrong = int((1 - chance - least_estimate(percent) * (1 - chance)) * MINIMA)
+    wrong_at = lambda minima: int((1 - 2.0**-BITS) * (1 - least_estimate(percent, minima)) * minima)
+    head = 4  # longs that are compared for all, the rest for those that pass
+    most_head, most_wrong = wrong_at(head * 64 // BITS), wrong_at(MINIMA)
+    groups = np.uint64(0x5555555555555555)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        node, comp = frame["node"].to_numpy(), frame["comp"].to_numpy()
+        frame = frame.sort_values("n_shingles", kind="stable")
+        node, comp, size = (frame[c].to_numpy() for c in ("node", "comp", "n_shingles"))
         sig = frame[SIGNATURE].to_numpy(dtype=np.int64).view(np.uint64)
-        size = frame["n_shingles"].to_numpy()
         names, which, counts = np.unique(comp, return_inverse=True, return_counts=True)
         few = np.flatnonzero(which != np.argmax(counts))  # two members of the largest component need not meet
         made = [pd.DataFrame({"a": node[:0], "b": node[:0]})]
-        step = max(1, (1 << 16) // len(node))
-        for i in range(0, len(few), step):
-            rows = few[i : i + step]
-            wrong = np.zeros((len(rows), len(node)), dtype=np.uint16)
-            for c in range(sig.shape[1]):
-                x = sig[rows, c][:, None] ^ sig[:, c][None, :]
+        at = 0
+        while at < len(few):
+            # sizes too far apart can't be similar: a block of rows meets one range of the sorted sizes
+            low = np.searchsorted(size, -(-size[few[at]] * percent // 100), side="left")
+            rows = few[at : at + max(1, (1 << 16) // max(1, len(node) - low))]
+            high = np.searchsorted(size, size[rows[-1]] * 100 // percent, side="right")
+            wrong = np.zeros((len(rows), high - low), dtype=np.uint8)
+            for c in range(head):
+                x = sig[rows, c][:, None] ^ sig[low:high, c][None, :]
                 x |= x >> np.uint64(1)
-                x &= np.uint64(0x5555555555555555)
+                x &= groups
                 wrong += np.bitwise_count(x)
-            near = wrong <= most_wrong
-            near &= which[rows][:, None] != which[None, :]
-            p, q = np.nonzero(near)
-            p = rows[p]
-            fits = 100 * np.minimum(size[p], size[q]) >= percent * np.maximum(size[p], size[q])
-            p, q = p[fits], q[fits]
+            p, q = np.nonzero(wrong <= most_head)
+            p, q = rows[p], q + low
+            apart = which[p] != which[q]
+            p, q = p[apart], q[apart]
+            x = sig[p] ^ sig[q]
+            near = np.bitwise_count((x | (x >> np.uint64(1))) & groups).sum(axis=1, dtype=np.int64) <= most_wrong
+            near &= 100 * np.minimum(size[p], size[q]) >= percent * np.maximum(size[p], size[q])
+            p, q = p[near], q[near]
             made.append(pd.DataFrame({"a": np.minimum(node[p], node[q]), "b": np.maximum(node[p], node[q])}))
+            at += len(rows)
         return pd.concat(made, ignore_index=True).drop_duplicates()
 
     return members.groupBy("key").applyInPandas(run, "a long, b long").distinct()
