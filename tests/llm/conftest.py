@@ -37,12 +37,3 @@ def docs(spark, rows):
 @pytest.fixture(scope="session")
 def empty(spark):
     return spark.createDataFrame([], COLUMNS)
-
-
-def clashing(df, *names):
-    """The table with more columns of the given names."""
-    from pyspark.sql import functions as F
-
-    for n in names:
-        df = df.withColumn(n, F.lit("other"))
-    return df

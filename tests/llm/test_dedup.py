@@ -1,7 +1,7 @@
 import pytest
 
 import brute
-from conftest import clashing
+from brute import clashing
 from millrace.llm import lines, minhash, substring
 
 

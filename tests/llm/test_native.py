@@ -1,6 +1,6 @@
 import brute
 import pytest
-from conftest import clashing
+from brute import clashing
 
 from millrace.llm import mixing, quality
 

@@ -3,7 +3,7 @@ import random
 import brute
 import numpy as np
 import pytest
-from conftest import clashing
+from brute import clashing
 from pyspark.sql import functions as F
 
 from millrace.llm import ann, bpe, chat, secrets, sharding
