@@ -37,6 +37,8 @@ LONGS = MINIMA * BITS // 64
 SIGNATURE = [f"s{i}" for i in range(LONGS)]
 #: An estimate may fall short of the truth by six standard deviations of its own before a candidate is left out.
 DEVIATIONS = 6.0
+#: Rows of a bucket that one task compares with the whole bucket.
+PART_ROWS = 8192
 
 _rng = np.random.default_rng(20240229)
 _A = (_rng.integers(0, 2**32, MINIMA, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -192,7 +194,8 @@ def cross_pairs(members: DataFrame, percent: int) -> DataFrame:
         node, comp, size = (frame[c].to_numpy() for c in ("node", "comp", "n_shingles"))
         sig = frame[SIGNATURE].to_numpy(dtype=np.int64).view(np.uint64)
         names, which, counts = np.unique(comp, return_inverse=True, return_counts=True)
-        few = np.flatnonzero(which != np.argmax(counts))  # two members of the largest component need not meet
+        own = frame["node"].to_numpy() % frame["parts"].to_numpy() == frame["part"].to_numpy()
+        few = np.flatnonzero((which != np.argmax(counts)) & own)  # two members of the largest component need not meet
         made = [pd.DataFrame({"a": node[:0], "b": node[:0]})]
         at = 0
         while at < len(few):
@@ -218,7 +221,12 @@ def cross_pairs(members: DataFrame, percent: int) -> DataFrame:
             at += len(rows)
         return pd.concat(made, ignore_index=True).drop_duplicates()
 
-    return members.groupBy("key").applyInPandas(run, "a long, b long").distinct()
+    # a large bucket is worked on in parts, each of which compares its share of the rows with all
+    parts = members.groupBy("key").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts"))
+    spread = members.join(parts, "key").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    # few bytes take long here, so the partitions are as many as asked for, not as the bytes would have it
+    n = 4 * int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return spread.repartition(n, "key", "part").groupBy("key", "part").applyInPandas(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
