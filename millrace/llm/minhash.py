@@ -182,6 +182,14 @@ def components(links: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def _ended(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame | None]:
+    """The frames that have rows, then None."""
+    for f in frames:
+        if len(f):
+            yield f
+    yield None
+
+
 def cross_pairs(members: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components within a bucket whose signatures are near: compared in blocks, never listed."""
     wrong_at = lambda minima: int((1 - 2.0**-BITS) * (1 - least_estimate(percent, minima)) * minima)
@@ -189,14 +197,10 @@ def cross_pairs(members: DataFrame, percent: int) -> DataFrame:
     most_head, most_wrong = wrong_at(head * 64 // BITS), wrong_at(MINIMA)
     groups = np.uint64(0x5555555555555555)
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("n_shingles", kind="stable")
-        node, comp, size = (frame[c].to_numpy() for c in ("node", "comp", "n_shingles"))
-        sig = frame[SIGNATURE].to_numpy(dtype=np.int64).view(np.uint64)
-        names, which, counts = np.unique(comp, return_inverse=True, return_counts=True)
-        own = frame["node"].to_numpy() % frame["parts"].to_numpy() == frame["part"].to_numpy()
+    def near_in(node: np.ndarray, comp: np.ndarray, size: np.ndarray, sig: np.ndarray, own: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """One bucket, sorted by size."""
+        _, which, counts = np.unique(comp, return_inverse=True, return_counts=True)
         few = np.flatnonzero((which != np.argmax(counts)) & own)  # two members of the largest component need not meet
-        made = [pd.DataFrame({"a": node[:0], "b": node[:0]})]
         at = 0
         while at < len(few):
             # sizes too far apart can't be similar: a block of rows meets one range of the sorted sizes
@@ -213,20 +217,46 @@ def cross_pairs(members: DataFrame, percent: int) -> DataFrame:
             p, q = rows[p], q + low
             apart = which[p] != which[q]
             p, q = p[apart], q[apart]
-            x = sig[p] ^ sig[q]
-            near = np.bitwise_count((x | (x >> np.uint64(1))) & groups).sum(axis=1, dtype=np.int64) <= most_wrong
-            near &= 100 * np.minimum(size[p], size[q]) >= percent * np.maximum(size[p], size[q])
-            p, q = p[near], q[near]
-            made.append(pd.DataFrame({"a": np.minimum(node[p], node[q]), "b": np.maximum(node[p], node[q])}))
+            if len(p):
+                x = sig[p] ^ sig[q]
+                near = np.bitwise_count((x | (x >> np.uint64(1))) & groups).sum(axis=1, dtype=np.int64) <= most_wrong
+                near &= 100 * np.minimum(size[p], size[q]) >= percent * np.maximum(size[p], size[q])
+                p, q = p[near], q[near]
+                yield np.minimum(node[p], node[q]), np.maximum(node[p], node[q])
             at += len(rows)
-        return pd.concat(made, ignore_index=True).drop_duplicates()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows sorted by bucket and size. Most buckets have a few rows, so none becomes a frame of its own; what a
+        batch cuts off goes on with the next one."""
+        rest: list[pd.DataFrame] = []
+        for frame in _ended(frames):
+            if frame is not None:
+                rest.append(frame)
+                last = frame[["key", "part"]].iloc[-1].tolist()
+                if len(rest) and rest[0][["key", "part"]].iloc[0].tolist() == last:
+                    continue  # still the same bucket
+            if not rest:
+                return
+            held = pd.concat(rest, ignore_index=True) if len(rest) > 1 else rest[0].reset_index(drop=True)
+            key, part = held["key"].to_numpy(), held["part"].to_numpy()
+            new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (part[1:] != part[:-1])]))
+            cut = np.append(new, len(held))
+            if frame is not None:  # the last bucket may go on
+                cut, rest = cut[:-1], [held.iloc[cut[-2] :]]
+            node, comp, size = (held[c].to_numpy() for c in ("node", "comp", "n_shingles"))
+            own = node % held["parts"].to_numpy() == part
+            sig = held[SIGNATURE].to_numpy(dtype=np.int64).view(np.uint64)
+            made = [x for i, j in zip(cut[:-1], cut[1:]) for x in near_in(node[i:j], comp[i:j], size[i:j], sig[i:j], own[i:j])]
+            if made:
+                yield pd.DataFrame({"a": np.concatenate([x for x, _ in made]), "b": np.concatenate([y for _, y in made])}).drop_duplicates()
 
     # a large bucket is worked on in parts, each of which compares its share of the rows with all
     parts = members.groupBy("key").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts"))
     spread = members.join(parts, "key").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     # few bytes take long here, so the partitions are as many as asked for, not as the bytes would have it
     n = 4 * int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return spread.repartition(n, "key", "part").groupBy("key", "part").applyInPandas(run, "a long, b long").distinct()
+    columns = ["key", "part", "parts", "node", "comp", "n_shingles", *SIGNATURE]
+    return spread.select(*columns).repartition(n, "key", "part").sortWithinPartitions("key", "part", "n_shingles").mapInPandas(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
