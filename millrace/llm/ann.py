@@ -3,11 +3,13 @@
 Coarse centroids and residual codebooks are fitted on a bounded sample (the rows with the smallest hashes of their ids,
 ``SAMPLE_PER_LIST`` for each list).  Every valid row is indexed: the list of its nearest centroid and one byte per
 subspace for what is left.  A query looks into its ``probes`` nearest lists; a table of its products with all codewords
-makes an asymmetric distance one lookup a subspace.  The best by that measure are scored again on the original vectors
-in double precision, and the nearest of them returned.
+makes an asymmetric distance one lookup a subspace.  The best by that measure, with all that tie with the last of them,
+are scored again on the original vectors in double precision, and the nearest of them returned.
+
+Equal vectors are one row of the index with the smallest of their ids, so any number of copies leaves room for others.
 
 Lists are split into blocks of bounded size by a hash of the id, so a list that holds a third of all rows is worked on by
-many tasks; queries meet a block's rows in blocks, and only the best few of each block leave it.
+many tasks; queries meet a block's rows in blocks, and only the k best ids of each block leave it.
 
 Defined results: vectors that are null, zero, of another length than most, or hold null or non-finite components take no
 part, nor do null ids; an id that repeats counts once, with its best score; ties go to the smaller id; extra columns are
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm._shared import ready, settled
+from millrace.llm._shared import ready, settled, unsettle
 
 SUBSPACES = 16
 CODEWORDS = 256
@@ -32,6 +34,8 @@ SAMPLE_PER_LIST = 64
 MOST_LISTS = 2048
 BLOCK_ROWS = 20_000
 QUERY_BLOCK = 256
+#: Query and row pairs that are scored exactly at a time, at most.
+PAIRS = 1 << 20
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
@@ -104,11 +108,46 @@ def _unit(column: pd.Series) -> np.ndarray:
     return (x / np.sqrt((x * x).sum(axis=1, keepdims=True))).astype(np.float32)
 
 
+def classes(good: DataFrame, k: int) -> DataFrame:
+    """vec_id, ids, v: a row for each distinct vector (by a 128-bit hash) with its smallest k + 1 ids and the smallest
+    of them.  Only ids are grouped, and all but k + 1 of a class stay in the tasks that read them."""
+    keyed = good.select("vec_id", "v", F.xxhash64("v").alias("a"), F.xxhash64(F.lit(1), "v").alias("b"))
+    first = F.row_number().over(Window.partitionBy("a", "b").orderBy("vec_id"))
+    ids = keyed.select("a", "b", "vec_id").distinct().withColumn("r", first).where(F.col("r") <= k + 1)
+    ids = ids.groupBy("a", "b").agg(F.min("vec_id").alias("vec_id"), F.collect_list("vec_id").alias("ids"))
+    return keyed.join(ids, ["vec_id", "a", "b"]).dropDuplicates(["vec_id", "a", "b"]).select("vec_id", "ids", "v")
+
+
+def _scaled(column: pd.Series) -> np.ndarray:
+    """Vectors as double, each by a power of two, so products stay finite and no digit changes."""
+    x = np.stack(column.to_numpy()).astype(np.float64)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
+def _products(x: np.ndarray, i: np.ndarray, y: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """x[i] . y[j], summed in order of components: the same bits wherever a pair stands in a block."""
+    out = np.zeros(len(i))
+    for d in range(x.shape[1]):
+        out += x[i, d] * y[j, d]
+    return out
+
+
+def _nearest_ids(who: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Rows with the k best distinct ids of each ``who``; ties go to the smaller id."""
+    at = np.lexsort((-score, ids, who))
+    new = np.ones(len(at), dtype=bool)
+    new[1:] = (who[at][1:] != who[at][:-1]) | (ids[at][1:] != ids[at][:-1])
+    at = at[new]
+    at = at[np.lexsort((ids[at], -score[at], who[at]))]
+    starts = np.flatnonzero(np.r_[True, who[at][1:] != who[at][:-1]]) if len(at) else np.zeros(0, np.int64)
+    return at[np.arange(len(at)) - np.repeat(starts, np.diff(np.r_[starts, len(at)])) < k]
+
+
 def search(rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, recall: float = 0.98, least_probes: int = 16, refine: int = 250) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each row of ``queries`` its ``k`` nearest among ``rows`` but itself.
 
     A query probes as many lists as the sample's own neighbours need for ``recall`` (``least_probes`` at least), and
-    scores ``refine`` candidates exactly."""
+    scores the best ``refine`` vectors of each block exactly, with all that tie with the last of them."""
     spark = ready(rows.sparkSession)
     good = valid_vectors(rows, id_col, vector_col)
     dims = good.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
@@ -117,9 +156,11 @@ def search(rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_c
         return spark.createDataFrame([], empty)
     good = good.where(F.size("v") == dims["d"])
     asked = valid_vectors(queries, id_col, vector_col).where(F.size("v") == dims["d"])
-    n = dims["n"]
+    kind = np.float32 if dict(rows.dtypes)[vector_col] == "array<float>" else np.float64
+    distinct = settled(classes(good, k).withColumn("v", F.col("v").cast("array<float>" if kind is np.float32 else "array<double>")), "classes")
+    n = distinct.count()
     lists = int(np.clip(2 ** round(np.log2(max(1.0, n**0.5))), 1, MOST_LISTS))
-    sample = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(4096, SAMPLE_PER_LIST * lists)).select("v").toPandas()
+    sample = distinct.orderBy(F.xxhash64("vec_id"), "vec_id", F.xxhash64("v")).limit(max(4096, SAMPLE_PER_LIST * lists)).select("v").toPandas()
     units = _unit(sample["v"])
     index = Index(units, min(lists, len(units)))
     lists = len(index.centres)
@@ -129,43 +170,59 @@ def search(rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_c
     def code(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             at, codes = shared.value.codes(_unit(f["v"]))
-            yield pd.DataFrame({"list": at.astype(np.int32), "vec_id": f["vec_id"], "codes": [c.tobytes() for c in codes]})
+            yield pd.DataFrame({"list": at.astype(np.int32), "vec_id": f["vec_id"], "ids": f["ids"], "codes": [c.tobytes() for c in codes], "x": [np.asarray(v, kind).tobytes() for v in f["v"]]})
 
     def probe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             q = _unit(f["v"])
             score = q @ shared.value.centres.T
-            near = np.argpartition(-score, probes - 1, axis=1)[:, :probes]
-            yield pd.DataFrame({"list": near.ravel().astype(np.int32), "query_id": np.repeat(f["vec_id"].to_numpy(), probes), "base": np.take_along_axis(score, near, axis=1).ravel(), "q": [x.tobytes() for x in np.repeat(q, probes, axis=0)]})
+            first = score.copy()
+            first[np.arange(len(q)), _nearest(q, shared.value.centres)] = np.inf  # the list of its own copies
+            near = np.argpartition(-first, probes - 1, axis=1)[:, :probes]
+            yield pd.DataFrame({"list": near.ravel().astype(np.int32), "query_id": np.repeat(f["vec_id"].to_numpy(), probes), "base": np.take_along_axis(score, near, axis=1).ravel(), "q": [x for v in f["v"] for x in [np.asarray(v, np.float64).tobytes()] * probes]})
 
-    coded = settled(good.mapInPandas(code, "list int, vec_id long, codes binary"), "ivf")
+    coded = settled(distinct.mapInPandas(code, "list int, vec_id long, ids array<long>, codes binary, x binary"), "ivf")
+    unsettle(distinct)
     blocks = coded.groupBy("list").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
-    placed = coded.join(blocks, "list").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).drop("blocks")
+    placed = coded.join(blocks, "list").withColumn("block", F.pmod(F.xxhash64("vec_id", "x"), F.col("blocks")).cast("int")).drop("blocks", "vec_id")
     asks = asked.mapInPandas(probe, "list int, query_id long, base float, q binary").join(blocks, "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
 
     def scan(rows: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
         made = []
         if len(rows) and len(asks):
             codes = np.frombuffer(b"".join(rows["codes"]), dtype=np.uint8).reshape(len(rows), -1)
-            ids = rows["vec_id"].to_numpy()
-            q = np.frombuffer(b"".join(asks["q"]), dtype=np.float32).reshape(len(asks), -1)
+            x = _scaled(pd.Series([np.frombuffer(b, kind) for b in rows["x"]]))
+            y = _scaled(pd.Series([np.frombuffer(b, np.float64) for b in asks["q"]]))
+            q, every, all_y = _unit(pd.Series(list(y))), np.arange(len(x)), np.arange(len(y))
+            x_long, y_long = np.sqrt(_products(x, every, x, every)), np.sqrt(_products(y, all_y, y, all_y))
+            x, y = np.asfortranarray(x), np.asfortranarray(y)
+            sizes = rows["ids"].map(len).to_numpy()
+            ids, starts = np.concatenate(rows["ids"].to_list()), np.cumsum(sizes) - sizes
+            alone = np.where(sizes == 1, ids[starts], 0)
             who, base = asks["query_id"].to_numpy(), asks["base"].to_numpy()
             for a in range(0, len(q), QUERY_BLOCK):
                 t = shared.value.tables(q[a : a + QUERY_BLOCK])
-                near = np.repeat(base[a : a + QUERY_BLOCK, None], len(ids), axis=1)
+                near = np.repeat(base[a : a + QUERY_BLOCK, None], len(x), axis=1)
                 for m in range(codes.shape[1]):
                     near += t[:, m, codes[:, m]]
-                near[who[a : a + QUERY_BLOCK, None] == ids[None, :]] = -np.inf
-                best = np.argpartition(-near, min(refine, len(ids)) - 1, axis=1)[:, :refine]
-                made.append(pd.DataFrame({"query_id": np.repeat(who[a : a + QUERY_BLOCK], best.shape[1]), "vec_id": ids[best.ravel()], "near": np.take_along_axis(near, best, axis=1).ravel()}))
-        return pd.concat(made, ignore_index=True) if made else pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "near": np.zeros(0, np.float32)})
-
-    found = placed.groupBy("list", "block").cogroup(asks.groupBy("list", "block")).applyInPandas(scan, "query_id long, vec_id long, near float")
-    top = Window.partitionBy("query_id").orderBy(F.desc("near"), "vec_id")
-    kept = found.where("query_id <> vec_id").withColumn("r", F.row_number().over(top)).where(F.col("r") <= refine).select("query_id", "vec_id").distinct()
-    pairs = kept.join(good.select("vec_id", "v"), "vec_id").join(asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    scored = pairs.select("query_id", "vec_id", (dot("v", "q") / (F.sqrt(dot("v", "v")) * F.sqrt(dot("q", "q")))).alias("score"))
-    scored = scored.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+                near[(who[a : a + QUERY_BLOCK, None] == alone[None, :]) & (sizes == 1)[None, :]] = -np.inf
+                last = min(refine, len(x))
+                cut = -np.partition(-near, last - 1, axis=1)[:, last - 1]
+                for b in range(0, len(near), step := max(1, PAIRS // len(x))):
+                    i, j = np.nonzero(near[b : b + step] >= cut[b : b + step, None])
+                    i += a + b
+                    score = _products(y, i, x, j) / (x_long[j] * y_long[i])
+                    # each vector for all ids of its class
+                    many = sizes[j]
+                    at = np.repeat(np.arange(len(j)), many)
+                    named = ids[np.repeat(starts[j], many) + np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)]
+                    other = named != who[i[at]]
+                    at, named = at[other], named[other]
+                    best = _nearest_ids(i[at], named, score[at], k)
+                    made.append(pd.DataFrame({"query_id": who[i[at[best]]], "vec_id": named[best], "score": score[at[best]]}))
+        return pd.concat(made, ignore_index=True) if made else pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
+
+    found = placed.groupBy("list", "block").cogroup(asks.groupBy("list", "block")).applyInPandas(scan, "query_id long, vec_id long, score double")
+    scored = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

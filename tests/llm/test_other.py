@@ -138,6 +138,36 @@ def test_few_vectors(spark):
     assert ann.search(df.where("1 = 0"), df.where("1 = 0")).count() == 0
 
 
+def test_copies_beyond_the_candidates(spark):
+    """Copies and scaled copies by the hundred: the smaller ids win, and what is further away still follows."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(1200, 8)).astype(np.float32)
+    x[100:900] = x[1000]
+    x[901:905] = 2 * x[1000]
+    x[905] = x[1000] + np.float32(0.01)
+    ids = [int(i) for i in 7 * rng.permutation(1200)]
+    copies = sorted(ids[i] for i in [*range(100, 900), *range(901, 905), 1000])
+    df = spark.createDataFrame([(ids[i], [float(v) for v in x[i]]) for i in range(1200)] * 2, "vec_id long, embedding array<float>").repartition(6)
+    got = ann.search(df, df.where(F.col("vec_id").isin(copies[0], copies[3], copies[-1])), k=5, refine=50).collect()
+    found = {q: [r.vec_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] for q in (copies[0], copies[3], copies[-1])}
+    assert found == {q: [i for i in copies if i != q][:5] for q in found}
+    few = df.where(~F.col("vec_id").isin(copies[3:]))
+    got = ann.search(few, few.where(F.col("vec_id") == copies[0]), k=5, refine=50).collect()
+    assert [r.vec_id for r in sorted(got, key=lambda r: r.rank)][:3] == [*copies[1:3], ids[905]]
+
+
+def test_ties_of_codes(spark):
+    """Vectors too close for the codes to tell apart, more than are refined: the nearest are found all the same."""
+    rng = np.random.default_rng(9)
+    x = np.repeat(rng.normal(size=(4, 8)), 300, axis=0) + 1e-7 * rng.normal(size=(1200, 8))
+    x[1100:] = rng.normal(size=(100, 8))
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(1200)], "vec_id long, embedding array<double>").repartition(5)
+    got = ann.search(df, df.where("vec_id in (7, 450)"), k=5, refine=20).collect()
+    score = lambda q: np.sort(np.delete(x @ x[q] / np.linalg.norm(x, axis=1) / np.linalg.norm(x[q]), q))[-5:][::-1]
+    for q in (7, 450):
+        assert [r.score for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] == pytest.approx(score(q), abs=1e-15)
+
+
 TALK = [
     (1, 0, "user", "Hello there.\nHow is the build?"), (1, 1, "bot", "> How is  the BUILD?\nIt is green."), (1, 2, "user", ">> How is the build?\n> It is green.\nThanks!\n\n> never said"),
     (1, 3, "bot", "> Hello there.\nHi."), (2, 0, "user", "> It is green.\nquoting another talk"), (2, 1, "bot", None), (2, 2, "bot", ""), (None, 0, "user", "lost"), (None, 1, "bot", "> lost\nfound"), (1, 3, "bot", "> Hello there.\nHi."),
