@@ -6,8 +6,9 @@ message of its conversation that has it as a line of its own.  That is an as-of
 conversation, in order of turn, each carrying the last own line seen, so a line that thousands of messages share costs
 their number and no pairs.  A message replies to the message that most of its outermost quotes come from.
 
-Defined results: a null text is an empty one; a null turn comes before all others and a null conversation is a
-conversation; quotes of nothing found leave ``reply_to`` null; of messages with one conversation and turn (repeated
+Defined results: a null text is an empty one; a null turn comes before all others (quotes of it count in ``n_linked``,
+with ``reply_to`` null, which is its turn) and a null conversation is a conversation; quotes of nothing found leave
+``reply_to`` null and ``n_linked`` 0; of messages with one conversation and turn (repeated
 rows) each is a row, and what they quote is pooled; extra columns are ignored; an empty table gives an empty result.
 """
 
@@ -39,13 +40,14 @@ def reply_links(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     lines = message_lines(messages, conv_col, turn_col, text_col).where("h is not null")
     # a line per message and level suffices; own lines count only where some message quotes
     lines = lines.groupBy("conv", "h", "turn", "level").agg(F.count("*").alias("n"))
-    order = F.coalesce("turn", F.lit(-(2**63)))
-    upto = Window.partitionBy("conv", "h").orderBy(order).rangeBetween(Window.unboundedPreceding, -1)
-    seen = lines.withColumn("origin", F.max(F.when(F.col("level") == 0, F.col("turn"))).over(upto)).where("level > 0")
+    # a message's own lines come after what it quotes, so the rows before hold own lines of earlier turns alone
+    upto = Window.partitionBy("conv", "h").orderBy(F.asc_nulls_first("turn"), F.desc("level")).rowsBetween(Window.unboundedPreceding, -1)
+    own = F.when(F.col("level") == 0, F.struct("turn"))
+    seen = lines.withColumn("origin", F.last(own, ignorenulls=True).over(upto)).where("level > 0")
     outer = seen.withColumn("outer", F.min("level").over(Window.partitionBy("conv", "turn")))
     votes = outer.groupBy("conv", "turn", "origin").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("level") == F.col("outer"), F.col("n")).otherwise(0)).alias("votes"))
     best = F.max(F.when(F.col("origin").isNotNull(), F.struct("votes", "n", "origin")))
-    return votes.groupBy("conv", "turn").agg(F.sum("n").alias("n_quoted"), F.sum(F.when(F.col("origin").isNotNull(), F.col("n")).otherwise(0)).alias("n_linked"), best["origin"].alias("reply_to"))
+    return votes.groupBy("conv", "turn").agg(F.sum("n").alias("n_quoted"), F.sum(F.when(F.col("origin").isNotNull(), F.col("n")).otherwise(0)).alias("n_linked"), best["origin"]["turn"].alias("reply_to"))
 
 
 def link_quotations(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:

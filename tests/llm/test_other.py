@@ -184,3 +184,10 @@ def test_quotations(spark):
     assert got[2, 0][1:] == (1, 0, None) and got[2, 1] == ("", 0, 0, None) == got[2, 2]
     assert got[None, 1] == ("found", 1, 1, 0)
     assert chat.link_quotations(df).count() == len(TALK) and chat.link_quotations(df.where(F.lit(False))).count() == 0
+
+
+def test_null_turns(spark):
+    talk = [(1, None, "user", "> later\nFirst."), (1, -(2**63), "bot", "> First.\nlater"), (1, 4, "user", "> later\n> First.\n> later\nend"), (1, 5, "bot", "> First.\n> end"), (2, None, "user", "alone"), (2, None, "user", "> alone")]
+    df = spark.createDataFrame(talk, "conv_id long, turn long, role string, text string")
+    got = sorted((r.conv_id, r.turn is not None, r.turn or 0, r.text, r.n_quoted, r.n_linked, r.reply_to) for r in chat.link_quotations(df).collect())
+    assert [g[3:] for g in got] == [("First.", 1, 0, None), ("later", 1, 1, None), ("end", 3, 3, -(2**63)), ("", 2, 2, 4), ("", 1, 0, None), ("alone", 1, 0, None)]
