@@ -1,10 +1,13 @@
 """Quotation linking: conversations ordered by reply, without quotes.
 
-A line's quote level is the number of ``>`` it begins with.  Lines without any are a message's own.  Quoted lines are
-normalised (quote marks off, white space folded, A-Z lowered) and hashed; a quoted line points to the latest earlier
-message of its conversation that has it as a line of its own.  That is an as-of lookup: lines of one hash in one
-conversation, in order of turn, each carrying the last own line seen, so a line that thousands of messages share costs
-their number and no pairs.  A message replies to the message that most of its outermost quotes come from.
+A line's quote level is the number of ``>`` it begins with.  Lines without any are a message's own.  Consecutive lines of
+one level are a passage; blank lines part it into paragraphs.  Passages are normalised (quote marks off, white space of
+any kind folded, A-Z lowered), hashed and joined to own passages, paragraphs and lines: each points to the latest earlier
+message of its conversation that has it as one of these, or else, from ``LEAST_WORDS`` words on, anywhere within a
+passage of its own.  Where nothing has a passage its paragraphs are looked up the same way, and then its lines.  Every
+lookup is as-of: keys of one hash in one conversation, in order of turn, each carrying the last own one seen, so a line
+that thousands of messages share costs their number and no pairs.  A message replies to the message that most lines of
+its outermost quotes come from.
 
 Defined results: a null text is an empty one; a null turn comes before all others (quotes of it count in ``n_linked``,
 with ``reply_to`` null, which is its turn) and a null conversation is a conversation; quotes of nothing found leave
@@ -14,36 +17,135 @@ rows) each is a row, and what they quote is pooled; extra columns are ignored; a
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from functools import lru_cache
+from hashlib import blake2b
+from itertools import accumulate
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from millrace.llm._shared import SPACES, ready
+from millrace.llm._shared import SPACES, WORD, ready, settled
 
 _MARKS = r"^(?:[\x20\x09]*>)+"
+#: A quote of fewer words links only to a whole line, paragraph or passage.
+LEAST_WORDS = 4
+_PRIME, _BASE = 2**127 - 1, 0x5BD1E995_9E3779B9_7F4A7C15_85EBCA6B % (2**127 - 1)
+_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
+
+
+@lru_cache(1 << 16)
+def _word(word: str) -> int:
+    return int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=15).digest()) + 1
+
+
+def _heads(words: list[str]) -> list[int]:
+    """Hashes of the first 0, 1, 2 … words."""
+    return list(accumulate(map(_word, words), lambda h, w: (h * _BASE + w) % _PRIME, initial=0))
+
+
+def _key(heads: list[int], a: int, b: int) -> dict:
+    return {"h": ((heads[b] - heads[a] * pow(_BASE, b - a, _PRIME)) % _PRIME).to_bytes(16), "words": b - a}
+
 
+def passages(text: str) -> Iterator[tuple[int, list[list[list[str]]]]]:
+    """(level, paragraphs of lines of words) of each run of lines; a blank quoted line parts quotes of any level."""
+    level, run = 0, [[]]
+    for line in text.split("\n"):
+        marks = re.match(_MARKS, line)
+        words = re.findall(WORD, line[marks.end() if marks else 0 :].translate(_LOWER))
+        at = marks[0].count(">") if marks else 0
+        if at != level and not (at and level and not words):
+            yield level, [p for p in run if p]
+            level, run = at, [[]]
+        if words:
+            run[-1].append(words)
+        else:
+            run.append([])
+    yield level, [p for p in run if p]
 
-def _normal(line: Column) -> Column:
-    bare = F.trim(F.regexp_replace(F.regexp_replace(line, _MARKS, ""), r"[\x20\x09-\x0D]+", " "), F.lit(SPACES))
-    return F.translate(bare, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
+def _keys(text: str) -> Iterator[tuple[int, list[dict]]]:
+    """(0, the keys of all own passages, paragraphs and lines), and (level, [passage, paragraph, line]) of quoted lines."""
+    own = {}
+    for level, run in passages(text):
+        heads = _heads([w for p in run for line in p for w in line])
+        whole, a = _key(heads, 0, len(heads) - 1), 0
+        for p in run:
+            part, at = _key(heads, a, a + sum(map(len, p))), a
+            for line in p:
+                keys = [whole, part, _key(heads, at, at + len(line))]
+                at += len(line)
+                if level:
+                    yield level, keys
+                else:
+                    own |= {k["h"]: k for k in keys}
+            a = at
+    if own:
+        yield 0, list(own.values())
 
-def message_lines(messages: DataFrame, conv_col: str, turn_col: str, text_col: str) -> DataFrame:
-    """conv, turn, level, line, h (a 128-bit hash as two longs; null for blank lines): a row for every line."""
-    rows = messages.select(F.col(conv_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.explode(F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n")).alias("line"))
-    marks = F.regexp_extract("line", _MARKS, 0)
-    normal = _normal(F.col("line"))
-    return rows.select("conv", "turn", (F.length(marks) - F.length(F.replace(marks, F.lit(">"), F.lit("")))).alias("level"), F.when(normal != "", F.struct(F.xxhash64(normal).alias("a"), F.xxhash64(F.lit(1), normal).alias("b"))).alias("h"))
+
+def _windows(text: str, sizes: list[int]) -> Iterator[set[bytes]]:
+    """For each size, the hashes of all runs of so many words in each own passage."""
+    for level, run in passages(text):
+        if not level:
+            heads = _heads([w for p in run for line in p for w in line])
+            for n in sizes:
+                power = pow(_BASE, n, _PRIME)
+                yield {((y - x * power) % _PRIME).to_bytes(16) for x, y in zip(heads, heads[n:])}
+
+
+def _last_own(own: DataFrame, asked: DataFrame) -> DataFrame:
+    """``asked`` (conv, turn, h, words) with origin: a struct of the latest earlier turn with the same conv and h in ``own``."""
+    both = own.select("conv", "turn", "h", F.lit(None).cast("int").alias("words"), F.lit(True).alias("own")).distinct()
+    both = both.unionByName(asked.select("conv", "turn", "h", "words", F.lit(False).alias("own")))
+    # a message's own come after what it quotes, so the rows before hold own ones of earlier turns alone
+    upto = Window.partitionBy("conv", "h").orderBy(F.asc_nulls_first("turn"), "own").rowsBetween(Window.unboundedPreceding, -1)
+    return both.withColumn("origin", F.last(F.when(F.col("own"), F.struct("turn")), ignorenulls=True).over(upto)).where("not own").drop("own")
+
+
+def _same(a: str, b: str, *names: str) -> Column:
+    return F.expr(" and ".join(f"{a}.{n} <=> {b}.{n}" for n in names))
 
 
 def reply_links(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text") -> DataFrame:
     """conv, turn, n_quoted, n_linked, reply_to for every message that quotes something."""
-    lines = message_lines(messages, conv_col, turn_col, text_col).where("h is not null")
-    # a line per message and level suffices; own lines count only where some message quotes
-    lines = lines.groupBy("conv", "h", "turn", "level").agg(F.count("*").alias("n"))
-    # a message's own lines come after what it quotes, so the rows before hold own lines of earlier turns alone
-    upto = Window.partitionBy("conv", "h").orderBy(F.asc_nulls_first("turn"), F.desc("level")).rowsBetween(Window.unboundedPreceding, -1)
-    own = F.when(F.col("level") == 0, F.struct("turn"))
-    seen = lines.withColumn("origin", F.last(own, ignorenulls=True).over(upto)).where("level > 0")
+    rows = messages.select(F.col(conv_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    quoting = rows.where(F.col("text").rlike(r"(?:\A|\n)[\x20\x09]*>")).select("conv").distinct()
+    rows = rows.alias("m").join(quoting.alias("c"), _same("m", "c", "conv"), "left_semi")
+    conv, key = rows.schema["conv"], T.StructType([T.StructField("h", T.BinaryType()), T.StructField("words", T.IntegerType())])
+    keys_type = pa.list_(pa.struct([("h", pa.binary()), ("words", pa.int32())]))
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [(i, *x) for i, t in enumerate(b.column("text").to_pylist()) for x in _keys(t)]
+            at = pa.array([m[0] for m in made], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("conv").take(at), b.column("turn").take(at), pa.array([m[1] for m in made], pa.int32()), pa.array([m[2] for m in made], keys_type)], ["conv", "turn", "level", "keys"])
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, (t, sizes) in enumerate(zip(b.column("text").to_pylist(), b.column("sizes").to_pylist())):
+                for found in _windows(t, sizes):
+                    at = pa.array([i] * len(found), pa.int64())
+                    yield pa.RecordBatch.from_arrays([b.column("conv").take(at), b.column("turn").take(at), pa.array(list(found), pa.binary())], ["conv", "turn", "h"])
+
+    turn = T.StructField("turn", T.LongType())
+    pieces = settled(rows.mapInArrow(keyed, T.StructType([conv, turn, T.StructField("level", T.IntegerType()), T.StructField("keys", T.ArrayType(key))])), "quotes")
+    lines = pieces.where("level > 0").groupBy("conv", "turn", "level", "keys").agg(F.count("*").alias("n"))
+    asked = lines.select("conv", "turn", F.explode("keys").alias("key")).select("conv", "turn", "key.h", "key.words").distinct()
+    own = pieces.where("level = 0").select("conv", "turn", F.explode("keys.h").alias("h"))
+    first = settled(_last_own(own, asked), "whole")
+    open_ = first.where((F.col("origin").isNull()) & (F.col("words") >= LEAST_WORDS))
+    sizes = open_.groupBy("conv").agg(F.collect_set("words").alias("sizes"))
+    inner = rows.alias("m").join(sizes.alias("s"), _same("m", "s", "conv")).select("m.conv", "m.turn", "m.text", "s.sizes")
+    inner = inner.mapInArrow(windows, T.StructType([conv, turn, T.StructField("h", T.BinaryType())]))
+    found = first.where(F.col("origin").isNotNull()).unionByName(_last_own(inner, open_).where(F.col("origin").isNotNull()))
+    each = lines.select("*", F.posexplode("keys").alias("grain", "key"))
+    each = each.alias("l").join(found.alias("f"), _same("l", "f", "conv", "turn") & (F.col("l.key.h") == F.col("f.h")), "left")
+    seen = each.groupBy("l.conv", "l.turn", "l.level", "l.keys", "l.n").agg(F.min_by("f.origin", F.when(F.col("f.origin").isNotNull(), F.col("l.grain"))).alias("origin"))
     outer = seen.withColumn("outer", F.min("level").over(Window.partitionBy("conv", "turn")))
     votes = outer.groupBy("conv", "turn", "origin").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("level") == F.col("outer"), F.col("n")).otherwise(0)).alias("votes"))
     best = F.max(F.when(F.col("origin").isNotNull(), F.struct("votes", "n", "origin")))

@@ -191,3 +191,22 @@ def test_null_turns(spark):
     df = spark.createDataFrame(talk, "conv_id long, turn long, role string, text string")
     got = sorted((r.conv_id, r.turn is not None, r.turn or 0, r.text, r.n_quoted, r.n_linked, r.reply_to) for r in chat.link_quotations(df).collect())
     assert [g[3:] for g in got] == [("First.", 1, 0, None), ("later", 1, 1, None), ("end", 3, 3, -(2**63)), ("", 2, 2, 4), ("", 1, 0, None), ("alone", 1, 0, None)]
+
+
+PASSAGES = [
+    (1, 0, "I agree.\nShip plan B."), (1, 1, "Yes.\nI agree."), (1, 2, "> I agree.\n> Ship plan B."),
+    (2, 0, "A long line that some client wraps when it is quoted, and more.\n\nLast words."), (2, 1, "when it is quoted, indeed"), (2, 2, "> A long line that some\n> client wraps when it\n> is quoted, and more.\n>\n> Last\n> words.\nok"),
+    (2, 3, "> client wraps when it is\n> quoted, and"), (2, 4, "> Last words.\n\n> some client\n\n> never said at all by anyone"), (2, 5, ">> when it is quoted, indeed\n> ok\n> never said"),
+    (3, 0, "one\n\ntwo"), (3, 1, "two\n\none"), (3, 2, "> one\n>\n> two"), (3, 3, "> two\n> other words\n> one"),
+]
+
+
+def test_quoted_passages(spark):
+    df = spark.createDataFrame([(c, t, "user", x) for c, t, x in PASSAGES], "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): (r.n_quoted, r.n_linked, r.reply_to) for r in chat.link_quotations(df).collect()}
+    assert got[1, 2] == (2, 2, 0)  # line by line both answers were equal
+    assert got[2, 2] == (5, 5, 0)  # wrapped otherwise
+    assert got[2, 3] == (2, 2, 0)  # a part of a longer line
+    assert got[2, 4] == (3, 1, 0)  # two words within a line are no quote of it
+    assert got[2, 5] == (3, 2, 2)
+    assert got[3, 2] == (2, 2, 0) and got[3, 3] == (3, 2, 1)
