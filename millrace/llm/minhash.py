@@ -37,6 +37,11 @@ LONGS = MINIMA * BITS // 64
 SIGNATURE = [f"s{i}" for i in range(LONGS)]
 #: An estimate may fall short of the truth by six standard deviations of its own before a candidate is left out.
 DEVIATIONS = 6.0
+#: Below so many shingles in either set a candidate skips the estimate: low bits of few unequal minima follow the
+#: shingles' own low bits, so chance makes them equal less often than the estimate takes off.
+SMALL = 64
+#: Pairs of a task that go out together.
+PAIRS = 1 << 18
 #: Rows of a bucket that one task compares with the whole bucket.
 PART_ROWS = 8192
 
@@ -138,7 +143,7 @@ def least_estimate(percent: int, minima: int = MINIMA) -> float:
 
 
 def confirmed(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose full sets are as similar as asked; estimates come first."""
+    """Those of the pairs (a, b) whose full sets are as similar as asked; estimates come first, but for small sets."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, mine = None, np.zeros(0, dtype=np.uint64)
@@ -155,7 +160,7 @@ def confirmed(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, k: int, perce
     near = (
         pairs.alias("p").join(sigs.alias("x"), F.col("p.a") == F.col("x.node")).join(sigs.alias("y"), F.col("p.b") == F.col("y.node"))
         .where(100 * F.least("x.n_shingles", "y.n_shingles") >= percent * F.greatest("x.n_shingles", "y.n_shingles"))
-        .where(estimate("x", "y") >= least_estimate(percent)).select("p.a", "p.b")
+        .where((F.least("x.n_shingles", "y.n_shingles") < SMALL) | (estimate("x", "y") >= least_estimate(percent))).select("p.a", "p.b")
     )
     rows = near.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     return rows.select("a", "b", "text_a", "text_b").sortWithinPartitions("a").mapInPandas(run, "a long, b long")
@@ -191,7 +196,8 @@ def _ended(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame | None]:
 
 
 def cross_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components within a bucket whose signatures are near: compared in blocks, never listed."""
+    """Pairs of different components within a bucket whose signatures are near, or whose smaller set is small: compared
+    in blocks, never listed before."""
     wrong_at = lambda minima: int((1 - 2.0**-BITS) * (1 - least_estimate(percent, minima)) * minima)
     head = 4  # longs that are compared for all, the rest for those that pass
     most_head, most_wrong = wrong_at(head * 64 // BITS), wrong_at(MINIMA)
@@ -213,18 +219,22 @@ def cross_pairs(members: DataFrame, percent: int) -> DataFrame:
                 x |= x >> np.uint64(1)
                 x &= groups
                 wrong += np.bitwise_count(x)
-            p, q = np.nonzero(wrong <= most_head)
+            p, q = np.nonzero((wrong <= most_head) | (size[rows] < SMALL)[:, None] | (size[low:high] < SMALL)[None, :])
             p, q = rows[p], q + low
             apart = which[p] != which[q]
             p, q = p[apart], q[apart]
             if len(p):
                 x = sig[p] ^ sig[q]
                 near = np.bitwise_count((x | (x >> np.uint64(1))) & groups).sum(axis=1, dtype=np.int64) <= most_wrong
+                near |= np.minimum(size[p], size[q]) < SMALL
                 near &= 100 * np.minimum(size[p], size[q]) >= percent * np.maximum(size[p], size[q])
                 p, q = p[near], q[near]
                 yield np.minimum(node[p], node[q]), np.maximum(node[p], node[q])
             at += len(rows)
 
+    def together(made: list[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
+        return pd.DataFrame({"a": np.concatenate([x for x, _ in made]), "b": np.concatenate([y for _, y in made])}).drop_duplicates()
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows sorted by bucket and size. Most buckets have a few rows, so none becomes a frame of its own; what a
         batch cuts off goes on with the next one."""
@@ -246,9 +256,15 @@ def cross_pairs(members: DataFrame, percent: int) -> DataFrame:
             node, comp, size = (held[c].to_numpy() for c in ("node", "comp", "n_shingles"))
             own = node % held["parts"].to_numpy() == part
             sig = held[SIGNATURE].to_numpy(dtype=np.int64).view(np.uint64)
-            made = [x for i, j in zip(cut[:-1], cut[1:]) for x in near_in(node[i:j], comp[i:j], size[i:j], sig[i:j], own[i:j])]
+            made, n = [], 0
+            for x in (x for i, j in zip(cut[:-1], cut[1:]) for x in near_in(node[i:j], comp[i:j], size[i:j], sig[i:j], own[i:j])):
+                made.append(x)
+                n += len(x[0])
+                if n >= PAIRS:
+                    yield together(made)
+                    made, n = [], 0
             if made:
-                yield pd.DataFrame({"a": np.concatenate([x for x, _ in made]), "b": np.concatenate([y for _, y in made])}).drop_duplicates()
+                yield together(made)
 
     # a large bucket is worked on in parts, each of which compares its share of the rows with all
     parts = members.groupBy("key").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts"))

@@ -82,3 +82,13 @@ def test_estimate_is_close():
         wrong = np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum()
         est = (1 - wrong / minhash.MINIMA - 0.25) / 0.75
         assert abs(est - len(both) / (4000 - len(both))) < 0.12
+
+
+@pytest.mark.parametrize("s", [78, 1345, 1860])
+def test_small_sets_skip_the_estimate(spark, s):
+    """Sets of four and five shingles, similar at 0.8 exactly, whose low bits agree less often than chance would have it."""
+    a = " ".join(f"w{s}x{i}" for i in range(8))
+    df = spark.createDataFrame([(1, a), (2, f"{a} w{s}x8")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in minhash.near_duplicates(df, percent=80).collect()) == [(1, 1), (2, 1)]
+    rows = minhash.features(df, "doc_id", "text", 5).selectExpr("7L as key", "doc_id as node", "doc_id as comp", "n_shingles", *minhash.SIGNATURE)
+    assert [tuple(r) for r in minhash.cross_pairs(rows, 80).collect()] == [(1, 2)]
