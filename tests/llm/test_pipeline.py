@@ -32,3 +32,13 @@ def test_run(spark, docs, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
     assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_near_dedup_of_null_and_repeated_ids(spark, docs):
+    """Copies without an id or under a used one go like any other."""
+    words = lambda s: " ".join(f"{s}{i}" for i in range(60))
+    rows = [(None, words("a")), (None, words("a")), (5, words("a")), (6, words("b")), (6, words("b")), (6, words("c")), (9, words("c")), (None, words("d")), (None, words("d")), (None, None), (None, None), (7, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], docs.schema).repartition(4)
+    kept = corpus_pipeline.near_dedup(spark, df, "")
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([(5, words("a")), (6, words("b")), (6, words("c")), (None, words("d")), (None, None), (None, None), (7, "")], key=repr)
