@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import functools
+import inspect
 import os
 import tempfile
 import uuid
+import warnings
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 import numpy as np
@@ -14,8 +18,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch sent to a Python worker; with texts of up to some hundred KB this bounds a worker's memory.
+#: Rows and bytes in one Arrow batch sent to a Python worker: whichever is reached first ends it, so long texts come in
+#: batches of few rows and a worker holds one text more than the bytes at most.
 BATCH_ROWS = 512
+BATCH_BYTES = 16 << 20
 
 #: ASCII white space, as in the class ``[\x20\x09-\x0D]``; everything else is part of a word.
 SPACES = " \t\n\x0b\x0c\r"
@@ -27,7 +33,8 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Ships this package to the executors once per application and bounds Arrow batches."""
+    """Ships this package to the executors once per application and bounds Arrow batches. The bounds stay in the session,
+    as plans are lazy and read them when they run; they are only ever lowered."""
     sc = spark.sparkContext
     if sc.applicationId not in _shipped:
         root = Path(__file__).resolve().parents[2]
@@ -38,14 +45,22 @@ def ready(spark: SparkSession) -> SparkSession:
                     z.write(p, p.relative_to(root))
             sc.addPyFile(at)
         _shipped.add(sc.applicationId)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = str(spark.conf.get(key, None) or "")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
     return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """The folder all executors share, from ``spark.checkpoint.dir``; a local one only where that is unset and all
+    executors are on this machine. On a cluster an unset folder is an error: a machine's own folder isn't shared."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        warnings.warn("spark.checkpoint.dir is unset: intermediate tables go to a folder of this machine", stacklevel=2)
         at = "file://" + os.path.join(tempfile.gettempdir(), "millrace-shared-" + spark.sparkContext.applicationId)
     return at.rstrip("/")
 
@@ -85,7 +100,45 @@ def _clean() -> None:
         try:
             remove_path(spark, at)
         except Exception:  # noqa: BLE001 - the session may be gone; the files are then the cluster's to remove
-            return
+            continue
+
+
+def column_at(names: list[str], name: str) -> int:
+    """The place of a column: by its exact name, else as Spark resolves it, whatever its case."""
+    if name in names:
+        return names.index(name)
+    found = [i for i, n in enumerate(names) if n.lower() == name.lower()]
+    if len(found) != 1:
+        raise ValueError(f"there {'is no' if not found else 'are several'} column {name!r} among {names}")
+    return found[0]
+
+
+def plain_columns(added: tuple[str, ...] | None, roles: tuple[str, ...]) -> Callable:
+    """Lets an operator work on columns c0, c1 …, whatever the table's names are (dots, other cases, the operator's own
+    names, the same name twice).  ``roles`` are the operator's parameters that name columns, ``added`` what it adds to
+    the table's; a column of the table that an added one clashes with, in any case, is replaced by it.  Without
+    ``added`` the operator's result is a table of its own."""
+
+    def wrap(op: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        @functools.wraps(op)
+        def run(docs: DataFrame, *args: object, **how: object) -> DataFrame:
+            call = inspect.signature(op).bind(docs, *args, **how)
+            call.apply_defaults()
+            names = docs.columns
+            plain = [f"c{i}" for i in range(len(names))]
+            for role in roles:
+                call.arguments[role] = plain[column_at(names, call.arguments[role])]
+            call.arguments[next(iter(call.arguments))] = docs.toDF(*plain)
+            out = op(*call.args, **call.kwargs)
+            if added is None:
+                return out
+            clash = {a.lower() for a in added}
+            keep = [(p, n) for p, n in zip(plain, names) if n.lower() not in clash]
+            return out.select(*[p for p, _ in keep], *added).toDF(*[n for _, n in keep], *added)
+
+        return run
+
+    return wrap
 
 
 def id_key(col: Column) -> Column:

@@ -1,13 +1,17 @@
 """MinHash near-duplicates with b-bit signatures.
 
-One pass over the texts gives each document its set's size, a digest of the whole set, band keys, and a signature that
-holds the low two bits of each minimum (512 of them in sixteen longs).  Documents with one and the same set collapse into
-a class first, so thousands of copies cost one row.  Bands give candidates; the share of equal low bits, corrected for
-chance collisions, estimates their similarity; candidates near the threshold or above are confirmed on full sets.
-
-Candidates are not all pairs of a bucket.  First every member meets the bucket's smallest member; confirmed links give
-components; only in buckets that still hold several components do members of different components meet, compared by
-signature in blocks.  A pair that is left out lies in one component already, so no component changes by it.
+One pass over the texts gives each document its set's size (exact), a SHA-256 of its words, band keys, and a signature
+that holds two bits of each minimum (512 of them in sixteen longs).  Documents with the same words collapse into a class
+first, so thousands of copies cost one row.  Bands give candidates; the share of equal bits, corrected for chance
+collisions, estimates their similarity; candidates near the threshold or above are confirmed on full sets of shingles,
+whose words are compared, not hashes of them.  The two bits are the low ones of the minimum after a mix of its own: where
+minima are equal the bits are, where they aren't the bits agree by chance alone, in small sets too.
+
+Candidates are not all pairs of a bucket.  First every member meets the bucket's smallest member (the members of one that
+has very many in parts, each of which gets its text once); confirmed links give components; only in buckets that still
+hold several components do members of different components meet, compared by signature.  A large bucket is cut into
+tiles by size and hash, and only tiles whose sizes can be similar meet, two at a time in a task, so a task's memory
+doesn't grow with the bucket.  A pair that is left out lies in one component already, so no component changes by it.
 
 Defined results: a null id takes no part (component null, kept); texts without words have an empty set and link with
 nothing; rows that repeat an id are one document, represented by the row whose text hashes smallest; extra columns are
@@ -16,17 +20,18 @@ ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import _words as W
-from millrace.llm._shared import ready, settled, slices, text_bytes, unsettle
+from millrace.llm._shared import plain_columns, ready, settled, slices, text_bytes, unsettle
 
 #: 32 bands of 4 minima: a pair at similarity 0.8 shares no band with a probability of 5e-8, at 0.85 of 6e-11.
 ROWS, BANDS = 4, 32
@@ -37,17 +42,19 @@ LONGS = MINIMA * BITS // 64
 SIGNATURE = [f"s{i}" for i in range(LONGS)]
 #: An estimate may fall short of the truth by six standard deviations of its own before a candidate is left out.
 DEVIATIONS = 6.0
-#: Below so many shingles in either set a candidate skips the estimate: low bits of few unequal minima follow the
-#: shingles' own low bits, so chance makes them equal less often than the estimate takes off.
+#: Below so many shingles in either set a candidate skips the estimate: its full set is as cheap to compare.
 SMALL = 64
 #: Pairs of a task that go out together.
 PAIRS = 1 << 18
-#: Rows of a bucket that one task compares with the whole bucket.
-PART_ROWS = 8192
+#: Rows of a bucket in one tile. Two tiles meet in a task.
+TILE_ROWS = 8192
+#: Members that meet one copy of their hub's text.
+PART_PAIRS = 256
 
 _rng = np.random.default_rng(20240229)
 _A = (_rng.integers(0, 2**32, MINIMA, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 _B = _rng.integers(0, 2**32, MINIMA, dtype=np.uint64).astype(np.uint32)
+_OWN = _rng.integers(0, 2**63, MINIMA, dtype=np.uint64)
 
 FEATURES = "doc_id long, fp long, n_shingles long, digest binary, bands array<long>, " + ", ".join(f"{s} long" for s in SIGNATURE)
 
@@ -71,9 +78,9 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray,
     return out, at
 
 
-def shingle_set(text: str, k: int) -> np.ndarray:
-    raw = np.frombuffer((text or "").encode(), dtype=np.uint8)
-    return np.unique(shingle_sets(raw, np.array([0, len(raw)]), k)[0])
+def shingle_words(text: bytes | None) -> list[bytes]:
+    """The words of a text, A-Z lowered."""
+    return (text or b"").translate(W.LOWER).split()  # at ASCII white space
 
 
 def _signatures(sets: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,12 +101,13 @@ def _signatures(sets: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
         keys[:, j] = key
     packed = np.zeros((len(starts), LONGS), dtype=np.uint64)
     for i in range(MINIMA):
-        packed[:, i // 32] |= (low[i] & np.uint32(3)).astype(np.uint64) << np.uint64(2 * (i % 32))
+        own = W.mix(low[i].astype(np.uint64) ^ _OWN[i]) & np.uint64(3)
+        packed[:, i // 32] |= own << np.uint64(2 * (i % 32))
     return keys.view(np.int64), packed.view(np.int64)
 
 
 def features(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """One row per document with an id: set size, set digest, band keys and signature (null without words)."""
+    """One row per document with an id: set size, digest of the words, band keys and signature (null without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), *((s, pa.int64()) for s in SIGNATURE)])
@@ -109,10 +117,16 @@ def features(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
                 sets, at = shingle_sets(data[off[i] : off[j]], off[i : j + 1], k)
                 n, digest = np.zeros(j - i, dtype=np.int64), [None] * (j - i)
                 rows = np.flatnonzero(np.diff(at))
+                new = np.ones(len(sets), dtype=bool)
+                new[1:] = sets[1:] != sets[:-1]
+                new[at[:-1][np.diff(at) > 0]] = True
+                upto = np.concatenate([[0], np.cumsum(new)])
+                raw = data[off[i] : off[j]].tobytes()
                 for r in rows:
-                    own = sets[at[r] : at[r + 1]]
-                    own = own[np.concatenate([[True], own[1:] != own[:-1]])]
-                    n[r], digest[r] = len(own), xxhash.xxh3_128_digest(own.tobytes())
+                    own = shingle_words(raw[off[i + r] - off[i] : off[i + r + 1] - off[i]])
+                    n[r], digest[r] = upto[at[r + 1]] - upto[at[r]], hashlib.sha256(b" ".join(own)).digest()
+                    if n[r] < at[r + 1] - at[r]:  # equal hashes: are the words equal?
+                        n[r] = W.shingle_count(own, k)
                 keys, packed = _signatures(sets, at[rows])
                 lens = np.zeros(j - i, dtype=np.int64)
                 lens[rows] = BANDS
@@ -143,27 +157,35 @@ def least_estimate(percent: int, minima: int = MINIMA) -> float:
 
 
 def confirmed(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose full sets are as similar as asked; estimates come first, but for small sets."""
+    """Those of the pairs (a, b) whose full sets, compared as words, are as similar as asked; estimates come first, but for
+    small sets."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, mine = None, np.zeros(0, dtype=np.uint64)
-        for frame in frames:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of (a, part) lie together, the one with a's own text (b null) first."""
+        mine: list[bytes] = []
+        for batch in batches:
             good = []
-            for a, ta, tb in zip(frame["a"].to_numpy(), frame["text_a"], frame["text_b"]):
-                if a != last:
-                    last, mine = a, shingle_set(ta, k)
-                other = shingle_set(tb, k)
-                both = len(np.intersect1d(mine, other, assume_unique=True))
-                good.append(100 * both >= percent * (len(mine) + len(other) - both))
-            yield frame.loc[np.array(good, dtype=bool), ["a", "b"]]
+            for i, (b, text) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).cast(pa.binary()).to_pylist())):
+                own = shingle_words(text)
+                if b is None:
+                    mine = own
+                    continue
+                m, n, both = W.shingle_overlap(mine, own, k)
+                if 100 * both >= percent * (m + n - both):
+                    good.append(i)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(good, pa.int64())), batch.column(2).take(pa.array(good, pa.int64()))], names=["a", "b"])
 
     near = (
         pairs.alias("p").join(sigs.alias("x"), F.col("p.a") == F.col("x.node")).join(sigs.alias("y"), F.col("p.b") == F.col("y.node"))
         .where(100 * F.least("x.n_shingles", "y.n_shingles") >= percent * F.greatest("x.n_shingles", "y.n_shingles"))
         .where((F.least("x.n_shingles", "y.n_shingles") < SMALL) | (estimate("x", "y") >= least_estimate(percent))).select("p.a", "p.b")
     )
-    rows = near.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    return rows.select("a", "b", "text_a", "text_b").sortWithinPartitions("a").mapInPandas(run, "a long, b long")
+    near = settled(near, "near")
+    parts = near.groupBy("a").agg(F.ceil(F.count("*") / PART_PAIRS).cast("int").alias("parts"))
+    spread = near.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"), "b")
+    heads = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).join(texts.select(F.col("node").alias("a"), "text"), "a")
+    rows = spread.join(texts.select(F.col("node").alias("b"), "text"), "b").select("a", "part", "b", "text").union(heads.select("a", "part", F.lit(None).cast("long").alias("b"), "text"))
+    return rows.repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b")).mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -195,33 +217,33 @@ def _ended(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame | None]:
     yield None
 
 
-def cross_pairs(members: DataFrame, percent: int) -> DataFrame:
+def cross_pairs(members: DataFrame, percent: int, tile: int = TILE_ROWS) -> DataFrame:
     """Pairs of different components within a bucket whose signatures are near, or whose smaller set is small: compared
-    in blocks, never listed before."""
+    in blocks, never listed before.  ``members`` has key, node, comp, n_shingles and the signature."""
     wrong_at = lambda minima: int((1 - 2.0**-BITS) * (1 - least_estimate(percent, minima)) * minima)
     head = 4  # longs that are compared for all, the rest for those that pass
     most_head, most_wrong = wrong_at(head * 64 // BITS), wrong_at(MINIMA)
     groups = np.uint64(0x5555555555555555)
 
-    def near_in(node: np.ndarray, comp: np.ndarray, size: np.ndarray, sig: np.ndarray, own: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """One bucket, sorted by size."""
-        _, which, counts = np.unique(comp, return_inverse=True, return_counts=True)
-        few = np.flatnonzero((which != np.argmax(counts)) & own)  # two members of the largest component need not meet
+    def near_in(node: np.ndarray, comp: np.ndarray, size: np.ndarray, sig: np.ndarray, row: np.ndarray, col: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The rows of a bucket, or of two tiles of one, against its columns; sorted by size."""
+        few, cols = np.flatnonzero(row), np.flatnonzero(col)
+        over, sizes = sig[cols], size[cols]
         at = 0
         while at < len(few):
             # sizes too far apart can't be similar: a block of rows meets one range of the sorted sizes
-            low = np.searchsorted(size, -(-size[few[at]] * percent // 100), side="left")
-            rows = few[at : at + max(1, (1 << 16) // max(1, len(node) - low))]
-            high = np.searchsorted(size, size[rows[-1]] * 100 // percent, side="right")
+            low = np.searchsorted(sizes, -(-size[few[at]] * percent // 100), side="left")
+            rows = few[at : at + max(1, (1 << 16) // max(1, len(cols) - low))]
+            high = np.searchsorted(sizes, size[rows[-1]] * 100 // percent, side="right")
             wrong = np.zeros((len(rows), high - low), dtype=np.uint8)
             for c in range(head):
-                x = sig[rows, c][:, None] ^ sig[low:high, c][None, :]
+                x = sig[rows, c][:, None] ^ over[low:high, c][None, :]
                 x |= x >> np.uint64(1)
                 x &= groups
                 wrong += np.bitwise_count(x)
-            p, q = np.nonzero((wrong <= most_head) | (size[rows] < SMALL)[:, None] | (size[low:high] < SMALL)[None, :])
-            p, q = rows[p], q + low
-            apart = which[p] != which[q]
+            p, q = np.nonzero((wrong <= most_head) | (size[rows] < SMALL)[:, None] | (sizes[low:high] < SMALL)[None, :])
+            p, q = rows[p], cols[q + low]
+            apart = comp[p] != comp[q]
             p, q = p[apart], q[apart]
             if len(p):
                 x = sig[p] ^ sig[q]
@@ -242,22 +264,21 @@ def cross_pairs(members: DataFrame, percent: int) -> DataFrame:
         for frame in _ended(frames):
             if frame is not None:
                 rest.append(frame)
-                last = frame[["key", "part"]].iloc[-1].tolist()
-                if len(rest) and rest[0][["key", "part"]].iloc[0].tolist() == last:
+                last = frame[["key", "tile"]].iloc[-1].tolist()
+                if len(rest) and rest[0][["key", "tile"]].iloc[0].tolist() == last:
                     continue  # still the same bucket
             if not rest:
                 return
             held = pd.concat(rest, ignore_index=True) if len(rest) > 1 else rest[0].reset_index(drop=True)
-            key, part = held["key"].to_numpy(), held["part"].to_numpy()
-            new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (part[1:] != part[:-1])]))
+            key, tile_ = held["key"].to_numpy(), held["tile"].to_numpy()
+            new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (tile_[1:] != tile_[:-1])]))
             cut = np.append(new, len(held))
             if frame is not None:  # the last bucket may go on
                 cut, rest = cut[:-1], [held.iloc[cut[-2] :]]
-            node, comp, size = (held[c].to_numpy() for c in ("node", "comp", "n_shingles"))
-            own = node % held["parts"].to_numpy() == part
+            node, comp, size, row, col = (held[c].to_numpy() for c in ("node", "comp", "n_shingles", "row", "col"))
             sig = held[SIGNATURE].to_numpy(dtype=np.int64).view(np.uint64)
             made, n = [], 0
-            for x in (x for i, j in zip(cut[:-1], cut[1:]) for x in near_in(node[i:j], comp[i:j], size[i:j], sig[i:j], own[i:j])):
+            for x in (x for i, j in zip(cut[:-1], cut[1:]) for x in near_in(node[i:j], comp[i:j], size[i:j], sig[i:j], row[i:j], col[i:j])):
                 made.append(x)
                 n += len(x[0])
                 if n >= PAIRS:
@@ -266,15 +287,37 @@ def cross_pairs(members: DataFrame, percent: int) -> DataFrame:
             if made:
                 yield together(made)
 
-    # a large bucket is worked on in parts, each of which compares its share of the rows with all
-    parts = members.groupBy("key").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts"))
-    spread = members.join(parts, "key").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    # Two members of a bucket's largest component need not meet: the others are the rows, all are columns.
+    each = members.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    keys = each.groupBy("key").agg(F.sum("n").alias("n"), F.max_by("comp", F.struct("n", "comp")).alias("main"))
+    placed = members.join(keys, "key").withColumn("row", F.col("comp") != F.col("main"))
+    columns = ["key", "tile", "row", "col", "node", "comp", "n_shingles", *SIGNATURE]
+    cells = placed.where(F.col("n") <= tile).select("*", F.lit(0).cast("long").alias("tile"), F.lit(True).alias("col")).select(*columns)
+    if not keys.where(F.col("n") > tile).isEmpty():
+        cells = cells.union(_tiles(placed.where(F.col("n") > tile), percent, tile).select(*columns))
     # few bytes take long here, so the partitions are as many as asked for, not as the bytes would have it
     n = 4 * int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    columns = ["key", "part", "parts", "node", "comp", "n_shingles", *SIGNATURE]
-    return spread.select(*columns).repartition(n, "key", "part").sortWithinPartitions("key", "part", "n_shingles").mapInPandas(run, "a long, b long").distinct()
-
-
+    return cells.repartition(n, "key", "tile").sortWithinPartitions("key", "tile", "n_shingles").mapInPandas(run, "a long, b long").distinct()
+
+
+def _tiles(placed: DataFrame, percent: int, tile: int) -> DataFrame:
+    """Members of large buckets, a row for each pair of tiles they take part in. Sizes that can be similar lie in one class
+    or in neighbouring ones; a class is cut into tiles by hash."""
+    ratio = 1.001 * 100 / percent  # a little wide, so that rounding of logarithms parts nothing
+    placed = placed.withColumn("cls", F.floor(F.log(F.col("n_shingles").cast("double")) / math.log(ratio)).cast("int"))
+    count = lambda rows, name: rows.groupBy("key", "cls").agg(F.ceil(F.count("*") / tile).cast("int").alias(name))
+    of_rows = count(placed.where("row"), "row_tiles").select("key", "row_tiles", F.col("cls").alias("row_cls"), F.explode(F.array(*[F.col("cls") + d for d in (-1, 0, 1)])).alias("cls"))
+    meets = of_rows.join(count(placed, "col_tiles"), ["key", "cls"]).withColumnRenamed("cls", "col_cls")
+    mine = lambda tiles: F.pmod(F.xxhash64("node"), F.col(tiles)).cast("int")
+    other = lambda tiles: F.explode(F.sequence(F.lit(0), F.col(tiles) - 1))
+    id_ = F.xxhash64("row_cls", "col_cls", "row_tile", "col_tile").alias("tile")
+    names = ["key", "node", "comp", "n_shingles", *SIGNATURE, "row_cls", "col_cls"]
+    rows = placed.where("row").withColumnRenamed("cls", "row_cls").join(meets, ["key", "row_cls"]).select(*names, mine("row_tiles").alias("row_tile"), other("col_tiles").alias("col_tile"))
+    cols = placed.withColumnRenamed("cls", "col_cls").join(meets, ["key", "col_cls"]).select(*names, mine("col_tiles").alias("col_tile"), other("row_tiles").alias("row_tile"))
+    return rows.select("*", id_, F.lit(True).alias("row"), F.lit(False).alias("col")).unionByName(cols.select("*", id_, F.lit(False).alias("row"), F.lit(True).alias("col")))
+
+
+@plain_columns(None, ("id_col", "text_col"))
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``: documents are linked when 100 times their
     sets' intersection is at least ``percent`` times their union (see the module for nulls, ties and repeats)."""
@@ -312,8 +355,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def nameless(docs: DataFrame, text_col: str, k: int) -> DataFrame:
     """Rows without an id: their set's size, no component, kept."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame({"n_shingles": [len(shingle_set(t, k)) for t in f["t"]]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([W.shingle_count(shingle_words(t), k) for t in b.column(0).cast(pa.binary()).to_pylist()], pa.int64())], names=["n_shingles"])
 
-    return docs.select(F.col(text_col).cast("string").alias("t")).mapInPandas(run, "n_shingles long").select(F.lit(None).cast("long").alias("doc_id"), "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
+    return docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(run, "n_shingles long").select(F.lit(None).cast("long").alias("doc_id"), "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))

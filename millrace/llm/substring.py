@@ -5,9 +5,12 @@ of one task's sketch are empty it travels as sorted, delta-coded cell numbers, s
 of a range merges the tasks' sketches into that part of the "seen at least twice" plane, which goes to the shared
 folder.  The merged sketch overestimates counts and never underestimates them.
 
-Pass two: tasks re-read the texts and keep the windows whose cells are set in every row, with 96-bit keys.  These are
-grouped exactly by ranges of the key.  A task keeps one document per window for the exchange (the smallest id it has; it
-decides on the others itself), so a passage that a third of all documents share sends one entry a task.
+Pass two: tasks re-read the texts and keep the windows whose cells are set in every row.  These are grouped exactly, by
+their words.  Windows meet by minimiser: of the ``GRAM``-word sequences in a window the one with the smallest hash, which
+is the same in equal windows, so a run of windows of one minimiser travels as one stretch of words and the words
+themselves, not hashes of them, are compared where they meet.  A task keeps one document per window for the exchange
+(the smallest id it has; it decides on the others itself, again by words), so a passage that a third of all documents
+share sends one entry a task.
 
 The sketch takes about 8 bits a window, up to ``most_cells``.  Beyond that cap it lets more unique windows through to the
 exact grouping; it never loses one.
@@ -18,6 +21,10 @@ words are removed; null and empty texts have no words; extra columns are ignored
 
 from __future__ import annotations
 
+import fcntl
+import hashlib
+import os
+import shutil
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -26,13 +33,18 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import pyarrow.fs as pafs
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import _words as W
-from millrace.llm._shared import id_key, new_path, ready, slices, text_bytes
+from millrace.llm._shared import id_key, new_path, plain_columns, ready, slices, text_bytes
 
 DEPTH = 2
+#: Words of the sequences that minimisers are taken from: long enough that no phrase of the language draws many windows.
+GRAM = 7
+#: Words that a task groups at a time.
+FLUSH_WORDS = 1 << 20
 _SALT = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
@@ -52,17 +64,6 @@ def _unpack(raw: bytes) -> np.ndarray:
     return np.cumsum(planes[0] | planes[1] << np.uint64(8) | planes[2] << np.uint64(16) | planes[3] << np.uint64(24))
 
 
-def _window_hashes(data: np.ndarray, off: np.ndarray, k: int, lanes: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    starts, ends, word_off, _ = W.words(data, off)
-    keep, hashes = None, []
-    for lane in range(lanes):
-        h = W.word_hashes(data, starts, ends, lane)
-        w = W.windows(h, k, lane)
-        keep = W.inside(word_off, k, len(h)) if keep is None else keep
-        hashes.append(w[keep])
-    return hashes, np.flatnonzero(keep), word_off, np.diff(word_off)
-
-
 def sketch(docs: DataFrame, text_col: str, k: int, bits: int, ranges: int) -> str:
     """Writes the merged "at least twice" plane of all windows to the shared folder, one file per range of cells, and
     returns the folder."""
@@ -85,7 +86,9 @@ def sketch(docs: DataFrame, text_col: str, k: int, bits: int, ranges: int) -> st
         for batch in batches:
             data, off = text_bytes(batch.column(0))
             for i, j in slices(off):
-                (h,), *_ = _window_hashes(data[off[i] : off[j]], off[i : j + 1], k, 1)
+                part = data[off[i] : off[j]]
+                starts, ends, word_off, _ = W.words(part, off[i : j + 1])
+                h = W.windows(W.word_hashes(part, starts, ends), k)[W.inside(word_off, k, len(starts))]
                 held += [_cells(h, row, bits) for row in range(DEPTH)]
                 n += DEPTH * len(h)
                 if n >= flush:
@@ -124,21 +127,22 @@ def _write_plane(path: str, r: int, seen: np.ndarray) -> int:
     return r
 
 
-def load_sketch(path: str, bits: int, ranges: int) -> list[np.ndarray | None]:
-    """The merged plane by range, once a task: mapped where the shared folder is a mounted file system (one copy in the
-    page cache then serves a whole machine), else read. A range without windows has no file."""
+def load_sketch(path: str, ranges: int) -> list[np.ndarray | None]:
+    """The merged plane by range, mapped, so that it takes page cache and no worker's memory. A shared folder that isn't
+    mounted can't be mapped: there each executor keeps a copy beside the files Spark ships to it, made once by the first
+    task and again by any executor that takes a lost one's place. A range without windows has no file."""
     fs, at = pafs.FileSystem.from_uri(path)
-    out: list[np.ndarray | None] = [None] * ranges
-    for f in fs.get_file_info(pafs.FileSelector(at)):
-        name = f.path.rsplit("/", 1)[-1]
-        if name.endswith(".bits") and not name.startswith("."):
-            if isinstance(fs, pafs.LocalFileSystem):
-                got = np.memmap(f.path, dtype=np.uint8, mode="r")
-            else:
-                with fs.open_input_stream(f.path) as src:
-                    got = np.frombuffer(src.read(), dtype=np.uint8)
-            out[int(name[:-5])] = got
-    return out
+    folder = at
+    if not isinstance(fs, pafs.LocalFileSystem):
+        folder = os.path.join(SparkFiles.getRootDirectory(), "sketch-" + hashlib.sha1(path.encode()).hexdigest())
+        with open(folder + ".lock", "w") as lock:
+            fcntl.flock(lock, fcntl.LOCK_EX)
+            if not os.path.exists(folder):
+                shutil.rmtree(folder + ".part", ignore_errors=True)
+                pafs.copy_files(at, folder + ".part", source_filesystem=fs, destination_filesystem=pafs.LocalFileSystem())
+                os.rename(folder + ".part", folder)
+    names = [os.path.join(folder, f"{r}.bits") for r in range(ranges)]
+    return [np.memmap(name, dtype=np.uint8, mode="r") if os.path.exists(name) else None for name in names]
 
 
 def set_in(planes: list[np.ndarray | None], cells: np.ndarray, width: int) -> np.ndarray:
@@ -162,60 +166,137 @@ def _runs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return new
 
 
-def repeated_windows(docs: DataFrame, k: int, path: str, bits: int, ranges: int, groups: int) -> DataFrame:
-    """(doc, fp, places): places of windows that start in a document with a smaller id too. ``docs`` has doc, fp, t."""
+def _minimisers(h: np.ndarray, k: int) -> np.ndarray:
+    """For every window of ``k`` words, the smallest hash of the sequences of ``GRAM`` words in it."""
+    gram = min(GRAM, k)
+    low = W.windows(h, gram)
+    width, left = 1, k - gram + 1
+    while width < left:  # minima over 1, 2, 4 … sequences
+        step = min(width, left - width)
+        low = np.minimum(low[:-step], low[step:])
+        width += step
+    return low
+
+
+def _repeated(doc: np.ndarray, at: np.ndarray, key: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Which windows (of ``k`` words from places ``at`` on) are equal to one of a smaller document, by their words."""
+    order, new = W.same_windows(key, at, ids, k)
+    first = np.flatnonzero(new)
+    ordered = doc[order]
+    lowest = np.minimum.reduceat(ordered, first) if len(first) else ordered
+    out = np.empty(len(doc), dtype=bool)
+    out[order] = ordered > np.repeat(lowest, np.diff(np.append(first, len(order))))
+    return out
+
+
+def _stretches(doc: np.ndarray, fp: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows (doc, fp, places) of windows that lie in order of documents: places as pairs of a first window and how many
+    follow each other from it on."""
+    if not len(doc):
+        return
+    text = _runs(doc, fp)
+    new = text.copy()
+    new[1:] |= pos[1:] != pos[:-1] + 1
+    at = np.flatnonzero(new)
+    pairs = np.stack([pos[at], np.diff(np.append(at, len(doc)))], axis=1).astype(np.int32)
+    rows = np.flatnonzero(text[at])
+    cut = np.append(rows, len(at))
+    for a in range(0, len(rows), 4096):
+        b = min(a + 4096, len(rows))
+        where = at[rows[a:b]]
+        yield pa.RecordBatch.from_arrays([pa.array(doc[where]), pa.array(fp[where]), pa.array([pairs[cut[x] : cut[x + 1]].tobytes() for x in range(a, b)], pa.binary())], names=["doc", "fp", "places"])
+
+
+class _Held:
+    """Runs of candidate windows that a task holds: their words, each with a space behind it, and where they come from."""
+
+    def __init__(self) -> None:
+        self.raw: list[np.ndarray] = []
+        self.columns: list[tuple[np.ndarray, ...]] = []
+        self.keys: list[np.ndarray] = []
+        self.lows: list[np.ndarray] = []
+        self.sizes: list[np.ndarray] = []
+        self.n_words = 0
+
+    def add(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray, h: np.ndarray, low: np.ndarray, doc: np.ndarray, fp: np.ndarray, pos: np.ndarray, k: int) -> None:
+        """Windows at word places ``at`` of some texts' bytes."""
+        new = np.ones(len(at), dtype=bool)
+        new[1:] = (at[1:] != at[:-1] + 1) | (pos[1:] != pos[:-1] + 1)
+        first = np.flatnonzero(new)
+        n = np.diff(np.append(first, len(at))) + k - 1
+        words = W.ranges(at[first], n)
+        size = ends[words] - starts[words] + 1
+        padded = np.append(data, np.uint8(32))
+        raw = padded[W.ranges(starts[words], size)]
+        raw[np.cumsum(size) - 1] = 32
+        self.raw.append(raw)
+        self.sizes.append(size)
+        self.keys.append(h)
+        self.lows.append(low)
+        self.columns.append((n, doc[first], fp[first], pos[first]))
+        self.n_words += len(words)
+
+
+def repeated_windows(docs: DataFrame, k: int, path: str, bits: int, ranges: int, groups: int, flush: int = FLUSH_WORDS) -> DataFrame:
+    """(doc, fp, places): windows that start in a document with a smaller id too. ``docs`` has doc, fp, t."""
+    names = ["g", "doc", "fp", "entries"]
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plane, held, n = None, [], 0
+        plane, held = None, _Held()
         width = (DEPTH << bits) // ranges
-        names = ["g", "doc", "fp", "entries"]
 
         def out() -> Iterator[pa.RecordBatch]:
-            key = np.concatenate([x[0] for x in held])
-            key2 = np.concatenate([x[1] for x in held])
-            doc = np.concatenate([x[2] for x in held])
-            fp = np.concatenate([x[3] for x in held])
-            pos = np.concatenate([x[4] for x in held])
-            order = np.lexsort((doc, key2, key))
-            key, key2, doc, fp, pos = key[order], key2[order], doc[order], fp[order], pos[order]
-            new = np.flatnonzero(_runs(key, key2))
-            lowest = np.repeat(doc[new], np.diff(np.append(new, len(key))))
-            known = doc > lowest  # this task has a smaller document with that window
-            yield from rows(np.full(int(known.sum()), -1, dtype=np.int64), key[known], key2[known], doc[known], fp[known], pos[known])
-            left = ~known
-            yield from rows((key[left] >> np.uint64(40)).astype(np.int64) * groups >> 24, key[left], key2[left], doc[left], fp[left], pos[left])
-
-        def rows(g, key, key2, doc, fp, pos) -> Iterator[pa.RecordBatch]:
-            """One row per group: its windows' arrays, packed. g = -1: decided, a row per document, which any group may carry."""
-            if not len(g):
-                return
-            if g[0] < 0:
-                order = np.lexsort((pos, fp, doc))
-                doc, fp, pos = doc[order], fp[order], pos[order]
-                new = np.flatnonzero(_runs(doc, fp))
-                cut = np.append(new, len(doc))
-                yield pa.RecordBatch.from_arrays([pa.array((doc[new] % groups).astype(np.int32)), pa.array(doc[new]), pa.array(fp[new]), pa.array([pos[a:b].astype(np.int32).tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())], names=names)
+            raw, size = np.concatenate(held.raw), np.concatenate(held.sizes)
+            n, doc, fp, pos = (np.concatenate([x[i] for x in held.columns]) for i in range(4))
+            key, low = np.concatenate(held.keys), np.concatenate(held.lows)
+            byte = np.concatenate([[0], np.cumsum(size)])
+            ids = W.word_ids(raw, byte[:-1], byte[1:])
+            many = n - k + 1
+            run = np.repeat(np.arange(len(n)), many)
+            at = W.ranges(np.cumsum(n) - n, many)
+            place = W.ranges(pos, many)
+            known = _repeated(doc[run], at, key, ids, k)  # this task has a smaller document with that window
+            for b in _stretches(doc[run[known]], fp[run[known]], place[known]):
+                yield pa.RecordBatch.from_arrays([pa.compute.cast(pa.array(b.column(0).to_numpy() % groups), pa.int32()), *b.columns], names=names)
+            left = np.flatnonzero(~known)
+            if not len(left):
                 return
+            new = np.ones(len(left), dtype=bool)
+            new[1:] = (left[1:] != left[:-1] + 1) | (run[left][1:] != run[left][:-1]) | (low[left][1:] != low[left][:-1])
+            cut = np.flatnonzero(new)
+            many = np.diff(np.append(cut, len(left)))
+            first = left[cut]
+            g = (W.mix(low[first]) >> np.uint64(40)).astype(np.int64) * groups >> 24
+            order = np.argsort(g, kind="stable")
+            g, first, many = g[order], first[order], many[order]
+            begin, end = byte[at[first]], byte[at[first] + many + k - 1]
+            text = raw[W.ranges(begin, end - begin)]
+            upto = np.concatenate([[0], np.cumsum(end - begin)])
             cut = np.searchsorted(g, np.arange(groups + 1))
-            made = [(r, zlib.compress(_entries(key[a:b], key2[a:b], doc[a:b], fp[a:b], pos[a:b]), 1)) for r, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
-            yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in made], pa.int32()), pa.nulls(len(made), pa.int64()), pa.nulls(len(made), pa.int64()), pa.array([p for _, p in made], pa.binary())], names=names)
+            made = [(r, _entries(doc[run[first[a:b]]], fp[run[first[a:b]]], place[first[a:b]], many[a:b], text[upto[a] : upto[b]])) for r, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
+            for a in range(0, len(made), 512):
+                part = made[a : a + 512]
+                yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in part], pa.int32()), pa.nulls(len(part), pa.int64()), pa.nulls(len(part), pa.int64()), pa.array([p for _, p in part], pa.binary())], names=names)
 
         for batch in batches:
-            plane = load_sketch(path, bits, ranges) if plane is None else plane
+            plane = load_sketch(path, ranges) if plane is None else plane
             data, off = text_bytes(batch.column(2))
             ids, fps = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for i, j in slices(off):
-                (h, h2), at, word_off, n_words = _window_hashes(data[off[i] : off[j]], off[i : j + 1], k, 2)
-                hit = np.arange(len(h))
+                part = data[off[i] : off[j]]
+                starts, ends, word_off, _ = W.words(part, off[i : j + 1])
+                h = W.word_hashes(part, starts, ends)
+                hit = np.flatnonzero(W.inside(word_off, k, len(h)))
+                w = W.windows(h, k)
                 for row in range(DEPTH):
-                    hit = hit[set_in(plane, _cells(h[hit], row, bits), width)]
-                of = np.repeat(np.arange(i, j), np.maximum(n_words - k + 1, 0))[hit]
-                held.append((h[hit], h2[hit].astype(np.uint32), ids[of], fps[of], at[hit] - word_off[of - i]))
-                n += len(hit)
-                if n >= 1 << 20:
+                    hit = hit[set_in(plane, _cells(w[hit], row, bits), width)]
+                if len(hit):
+                    of = np.searchsorted(word_off, hit, side="right") - 1
+                    held.add(part, starts, ends, hit, w[hit], _minimisers(h, k)[hit], ids[i + of], fps[i + of], hit - word_off[of], k)
+                if held.n_words >= flush:
                     yield from out()
-                    held, n = [], 0
-        if n:
+                    held = _Held()
+        if held.n_words:
             yield from out()
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,63 +304,59 @@ def repeated_windows(docs: DataFrame, k: int, path: str, bits: int, ranges: int,
         for batch in batches:
             known = batch.filter(pa.compute.is_valid(batch.column(1)))
             if known.num_rows:
-                yield pa.RecordBatch.from_arrays(known.columns[1:], names=["doc", "fp", "places"])
+                yield pa.RecordBatch.from_arrays(known.columns[1:], names=names[1:3] + ["places"])
             batch = batch.filter(pa.compute.is_null(batch.column(1)))
             for g, raw in zip(batch.column(0).to_pylist(), batch.column(3)):
                 if g != at and held:
                     yield from judged(held)
                     held = []
                 at = g
-                held.append(_entries_of(zlib.decompress(raw.as_py())))
+                held.append(_entries_of(raw.as_py()))
         if held:
             yield from judged(held)
 
     def judged(held: list) -> Iterator[pa.RecordBatch]:
-        key, key2, doc, fp, pos = (np.concatenate([x[i] for x in held]) for i in range(5))
-        order = np.lexsort((doc, key2, key))
-        key, key2, doc, fp, pos = key[order], key2[order], doc[order], fp[order], pos[order]
-        new = np.flatnonzero(_runs(key, key2))
-        lowest = np.repeat(doc[new], np.diff(np.append(new, len(key))))
-        gone = doc > lowest
-        doc, fp, pos = doc[gone], fp[gone], pos[gone]
+        doc, fp, pos, many, raw = (np.concatenate([x[i] for x in held]) for i in range(5))
+        byte = np.concatenate([[0], np.flatnonzero(raw == 32) + 1])
+        ids = W.word_ids(raw, byte[:-1], byte[1:])
+        n = many + k - 1
+        first = np.cumsum(n) - n
         order = np.lexsort((pos, fp, doc))
-        doc, fp, pos = doc[order], fp[order], pos[order]
-        if len(doc):
-            new = np.flatnonzero(_runs(doc, fp))
-            cut = np.append(new, len(doc))
-            for a in range(0, len(new), 4096):
-                b = min(a + 4096, len(new))
-                yield pa.RecordBatch.from_arrays([pa.array(doc[new[a:b]]), pa.array(fp[new[a:b]]), pa.array([pos[cut[x] : cut[x + 1]].astype(np.int32).tobytes() for x in range(a, b)], pa.binary())], names=["doc", "fp", "places"])
+        doc, fp, pos, many, first = doc[order], fp[order], pos[order], many[order], first[order]
+        run = np.repeat(np.arange(len(many)), many)
+        at, place = W.ranges(first, many), W.ranges(pos, many)
+        key = W.windows(W.mix(ids.astype(np.uint64) + np.uint64(1)), k)[at]
+        gone = _repeated(doc[run], at, key, ids, k)
+        yield from _stretches(doc[run[gone]], fp[run[gone]], place[gone])
 
     found = docs.mapInArrow(candidates, "g int, doc long, fp long, entries binary")
     return found.repartitionById(groups, F.col("g")).sortWithinPartitions("g").mapInArrow(exact, "doc long, fp long, places binary")
 
 
-def _entries(key, key2, doc, fp, pos) -> bytes:
-    """Arrays of one group; documents as a table and an index into it."""
-    pair = np.empty((len(doc), 2), dtype=np.int64)
-    pair[:, 0], pair[:, 1] = doc, fp
+_ZSTD = pa.Codec("zstd", compression_level=1)
+
+
+def _entries(doc: np.ndarray, fp: np.ndarray, pos: np.ndarray, many: np.ndarray, text: np.ndarray) -> bytes:
+    """Stretches of one group: documents as a table and an index into it, places, windows, and the words."""
     order = np.lexsort((fp, doc))
     new = _runs(doc[order], fp[order])
     index = np.empty(len(doc), dtype=np.uint32)
     index[order] = np.cumsum(new) - 1
-    table = pair[order][new]
-    return b"".join([np.array([len(key), len(table)], dtype=np.int64).tobytes(), table.tobytes(), key.tobytes(), key2.tobytes(), index.tobytes(), pos.astype(np.uint32).tobytes()])
+    table = np.stack([doc[order][new], fp[order][new]])
+    body = b"".join([np.array([len(doc), table.shape[1]], dtype=np.int64).tobytes(), table.tobytes(), index.tobytes(), pos.astype(np.uint32).tobytes(), many.astype(np.uint32).tobytes(), text.tobytes()])
+    return len(body).to_bytes(8, "little") + _ZSTD.compress(body, asbytes=True)
 
 
-def _entries_of(raw: bytes) -> tuple:
-    n, m = np.frombuffer(raw, dtype=np.int64, count=2)
-    at = 16
-    table = np.frombuffer(raw, dtype=np.int64, count=2 * m, offset=at).reshape(-1, 2)
-    at += 16 * m
-    key = np.frombuffer(raw, dtype=np.uint64, count=n, offset=at)
-    key2 = np.frombuffer(raw, dtype=np.uint32, count=n, offset=at + 8 * n)
-    index = np.frombuffer(raw, dtype=np.uint32, count=n, offset=at + 12 * n)
-    pos = np.frombuffer(raw, dtype=np.uint32, count=n, offset=at + 16 * n).astype(np.int64)
-    return key, key2, table[index, 0], table[index, 1], pos
+def _entries_of(raw: bytes) -> tuple[np.ndarray, ...]:
+    body = _ZSTD.decompress(raw[8:], decompressed_size=int.from_bytes(raw[:8], "little"), asbytes=True)
+    n, m = np.frombuffer(body, dtype=np.int64, count=2)
+    table = np.frombuffer(body, dtype=np.int64, count=2 * m, offset=16).reshape(2, -1)
+    index, pos, many = np.frombuffer(body, dtype=np.uint32, count=3 * n, offset=16 + 16 * m).reshape(3, -1).astype(np.int64)
+    return table[0][index], table[1][index], pos, many, np.frombuffer(body, dtype=np.uint8, offset=16 + 16 * m + 12 * n)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 13, most_cells: int = 1 << 36) -> DataFrame:
+@plain_columns(None, ("id_col", "text_col"))
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 13, most_cells: int = 1 << 36, flush: int = FLUSH_WORDS) -> DataFrame:
     """doc_id, n_words, n_removed, kept: the words that stay, joined by one space. A word goes when it is covered by a
     window of ``k`` words that also starts in a document with a smaller id, judged on the input."""
     spark = ready(docs.sparkSession)
@@ -290,7 +367,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     path = sketch(docs, text_col, k, bits, ranges)
     rows = docs.select(id_key(F.col(id_col)).alias("doc"), F.xxhash64(text_col).alias("fp"), F.col(text_col).cast("string").alias("t"), F.col(id_col).cast("long").alias("doc_id"))
     groups = int(max(1, size // (8 << 20)))
-    hits = repeated_windows(rows.select("doc", "fp", "t"), k, path, bits, ranges, groups)
+    hits = repeated_windows(rows.select("doc", "fp", "t"), k, path, bits, ranges, groups, flush)
     places = hits.groupBy("doc", "fp").agg(F.collect_list("places").alias("places"))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,11 +383,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     a, b = word_off[r - i], word_off[r - i + 1]
                     stay = np.arange(a, b)
                     if found[r]:
-                        at = np.frombuffer(b"".join(found[r]), dtype=np.int32)
-                        edge = np.zeros(b - a + 1, dtype=np.int32)
-                        at = np.unique(at)
-                        edge[at] += 1
-                        edge[at + k] -= 1
+                        at, many = np.frombuffer(b"".join(found[r]), dtype=np.int32).reshape(-1, 2).T
+                        edge = np.zeros(b - a + 1, dtype=np.int64)
+                        np.add.at(edge, at, 1)
+                        np.add.at(edge, at + many + k - 1, -1)
                         stay = stay[np.cumsum(edge[:-1]) == 0]
                     n_words.append(b - a)
                     n_removed.append(b - a - len(stay))
