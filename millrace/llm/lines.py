@@ -1,6 +1,6 @@
 """Line dedup over range-partitioned hashes.
 
-Every line long enough becomes a row (128-bit hash of its key, document, position).  The rows are range-partitioned by
+Every line long enough becomes a row (128 bits of BLAKE2b of its key, document, position).  The rows are range-partitioned by
 hash, document and position and sorted so within partitions; a stream over a partition then sees a key's lines in the
 order of their documents and marks all but the first document's.  A key that a third of all documents hold spreads over
 many partitions, as the document is part of the range; where a key goes on over a partition's border, each partition
@@ -9,25 +9,29 @@ reports the first document of its last key (one row a partition), which settles
 What comes out per document is a compressed bitmap of the lines to keep, no text.
 
 Defined results: a null id counts as the largest, and rows that share an id are one document (told apart by their text
-when lines are dropped); null and empty texts are one empty line; extra columns are ignored; an empty table gives an
-empty result.
+when lines are dropped); null and empty texts are one empty line; extra columns pass through (clashing ones are replaced);
+an empty table gives an empty result.  Keys count as equal where their 128-bit cryptographic hashes are; the lines
+themselves aren't compared.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._shared import SPACES, id_key, ready, settled
+from millrace.llm._shared import SPACES, id_key, plain_columns, ready, settled
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _SPACES = SPACES.encode()
+ADDED = ("kept_text", "n_lines", "n_dropped")
+#: Lines that one range of hashes has, so that ranges grow in number and not in size.
+RANGE_ROWS = 250_000
 
 
 def _points(key: bytes) -> int:
@@ -46,7 +50,7 @@ def line_keys(docs: DataFrame, least: int) -> DataFrame:
                 for p, line in enumerate(lines):
                     key = line.strip(_SPACES)
                     if len(key) >= least and (len(key) >= 4 * least or _points(key) >= least):
-                        hashes.append(xxhash.xxh3_128_digest(key))
+                        hashes.append(blake2b(key, digest_size=16).digest())
                         row.append(i)
                         place.append(p)
                         size.append(len(lines))
@@ -84,6 +88,7 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.array([key[0]]), pa.array([key[1]]), pa.array([first]), pa.array([0], pa.int64()), pa.array([0], pa.int32()), pa.array([0], pa.int32())], names=names)
 
 
+@plain_columns(None, ("id_col", "text_col"))
 def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 10) -> DataFrame:
     """doc, fp, keep: for every document that loses lines, its id key, its text's xxhash64 and a zlib-compressed bitmap
     (little-endian bit order) of the lines that stay. A key of ``least`` code points or more, found in two documents,
@@ -92,7 +97,7 @@ def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(id_key(F.col(id_col)).alias("doc"), F.xxhash64(text_col).alias("fp"), F.col(text_col).cast("string").alias("t"))
     keys = settled(line_keys(rows, least), "lines")
     order = ["h1", "h2", "doc", "fp", "pos"]
-    marked = settled(keys.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_later, "kind int, h1 long, h2 long, doc long, fp long, pos int, n int"), "marked")
+    marked = settled(keys.repartitionByRange(max(1, -(-keys.count() // RANGE_ROWS)), *order).sortWithinPartitions(*order).mapInArrow(_later, "kind int, h1 long, h2 long, doc long, fp long, pos int, n int"), "marked")
     tails = marked.where("kind = 2").groupBy("h1", "h2").agg(F.min("doc").alias("low"))  # at most a row a partition
     late = marked.where("kind = 1").join(F.broadcast(tails), ["h1", "h2"]).where("low < doc")
     gone = marked.where("kind = 0").select("doc", "fp", "pos", "n").union(late.select("doc", "fp", "pos", "n"))
@@ -109,6 +114,7 @@ def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return gone.groupBy("doc", "fp").agg(F.max("n").alias("n"), F.collect_list("pos").alias("places")).mapInArrow(bitmap, "doc long, fp long, keep binary")
 
 
+@plain_columns(ADDED, ("id_col", "text_col"))
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with kept_text, n_lines and n_dropped added (a null text is one empty line)."""
 
@@ -128,7 +134,7 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", t
             names = [name for name in batch.schema.names if name not in ("mr_text", "keep")]
             yield pa.RecordBatch.from_arrays([*rest, pa.array(texts, pa.binary()).cast(pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=[*names, "kept_text", "n_lines", "n_dropped"])
 
-    spare = [c for c in docs.columns if c not in ("kept_text", "n_lines", "n_dropped", "mr_text", "mr_doc", "mr_fp", "keep")]
+    spare = docs.columns
     rows = docs.select(*spare, id_key(F.col(id_col)).alias("mr_doc"), F.xxhash64(text_col).alias("mr_fp"), F.col(text_col).cast("string").alias("mr_text"))
     rows = rows.join(bitmaps.select(F.col("doc").alias("mr_doc"), F.col("fp").alias("mr_fp"), "keep"), ["mr_doc", "mr_fp"], "left").select(*spare, "mr_text", "keep")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*spare).schema)
