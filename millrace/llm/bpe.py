@@ -24,7 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from millrace.llm._shared import ready
+from millrace.llm._shared import plain_columns, ready
 
 LONG = 400
 #: Words kept in one generation of a worker's memory of words.
@@ -50,6 +50,13 @@ class Vocabulary:
         model, letters = spec["model"], _byte_letters()
         if model["type"] != "BPE" or spec.get("normalizer") or model.get("byte_fallback") or model.get("ignore_merges"):
             raise ValueError("only plain byte-level BPE files are supported")
+        if any(model.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk")):
+            raise ValueError("dropout, unknown tokens, prefixes and suffixes are not supported")
+        if any(t.get(x) for t in spec["added_tokens"] for x in ("single_word", "lstrip", "rstrip")):
+            raise ValueError("added tokens that take in white space or match whole words are not supported")
+        pre = spec.get("pre_tokenizer") or {}
+        if pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
+            raise ValueError("only byte-level pre-tokens without a prefix space are supported")
         ids: dict[str, int] = model["vocab"]
         self.of_byte = [0] * 256
         for letter, b in letters.items():
@@ -162,18 +169,17 @@ def _vocabulary(raw: bytes) -> Vocabulary:
     return _loaded[key]
 
 
-def _with(docs: DataFrame, new: str, kind: str) -> tuple[list[str], str]:
-    keep = [c for c in docs.columns if c != new]
-    return keep, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema), f"{new} {kind}"])
+def _with(docs: DataFrame, new: str, kind: str) -> str:
+    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"{new} {kind}"])
 
 
+@plain_columns(("ids",), ("text_col",))
 def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     """``docs`` with ``ids``, the tokens of the whole text under the tokenizer file at ``path``."""
     spark = ready(docs.sparkSession)
     with open(path, "rb") as f:
         shared = spark.sparkContext.broadcast(f.read())
-    keep, kinds = _with(docs, "ids", "array<int>")
-    at = keep.index(text_col)
+    kinds, at = _with(docs, "ids", "array<int>"), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _vocabulary(shared.value)
@@ -183,16 +189,16 @@ def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
             ids = pa.ListArray.from_arrays(pa.array(off), pa.array(np.frombuffer(b"".join(made), dtype=np.int32)))
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, "ids"])
 
-    return docs.select(*keep).mapInArrow(run, kinds)
+    return docs.mapInArrow(run, kinds)
 
 
+@plain_columns(("decoded",), ("ids_col",))
 def decode(rows: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     """``rows`` with ``decoded``, the text of the ids (null for null ids; special tokens are kept)."""
     spark = ready(rows.sparkSession)
     with open(path, "rb") as f:
         shared = spark.sparkContext.broadcast(f.read())
-    keep, kinds = _with(rows, "decoded", "string")
-    at = keep.index(ids_col)
+    kinds, at = _with(rows, "decoded", "string"), rows.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _vocabulary(shared.value)
@@ -204,4 +210,4 @@ def decode(rows: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
                 texts.append(None if ids is None else v.decode(ids.to_numpy(zero_copy_only=False).tolist()))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
 
-    return rows.select(*keep).mapInArrow(run, kinds)
+    return rows.mapInArrow(run, kinds)

@@ -20,11 +20,12 @@ table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window
+import warnings
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm._shared import WORD, ready, settled, unsettle
+from millrace.llm._shared import WORD, column_at, plain_columns, ready, settled, unsettle
 
 SALTS = 64
 #: Sizes in an octave that may pay for what rounding leaves.
@@ -56,7 +57,7 @@ def _rate(tilt: Column, most: int) -> Column:
     return most * e / (most - 1 + e)
 
 
-def balance(hist: DataFrame, targets: DataFrame, most: int, steps: int = 40, near: float = 1e-9) -> DataFrame:
+def balance(hist: DataFrame, targets: DataFrame, most: int, steps: int = 100, near: float = 1e-9) -> DataFrame:
     """(source, source_size, target, tilt): lambda of every source; null where the target is out of what rates can
     reach (then all documents are taken ``most`` times). ``hist`` has source, size, n."""
     scale = hist.groupBy("source").agg(F.try_divide(F.sum(F.col("n") * F.col("size") * F.col("size")), F.sum(F.col("n") * F.col("size"))).alias("scale"))
@@ -84,6 +85,8 @@ def balance(hist: DataFrame, targets: DataFrame, most: int, steps: int = 40, nea
         now = after
         if not (now.agg(F.max("off")).first()[0] or 0.0) > near:
             break
+    else:  # a bracket halves at least every other step, so this takes sums that lose digits
+        warnings.warn(f"the dual is not solved to {near} after {steps} steps; rounding pays what its rates leave", stacklevel=2)
     return now.select("source", "source_size", "target", "tilt")
 
 
@@ -120,10 +123,11 @@ def copies_by_size(hist: DataFrame, tilts: DataFrame, most: int) -> DataFrame:
     return out.select("r.source", "r.size", "r.n", "r.rate", (F.col("r.total") + F.coalesce("p.d", F.lit(0))).alias("total"))
 
 
+@plain_columns(ADDED, ("id_col", "text_col", "source_col"))
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
     """``docs`` with size, source_size, target, rate, copies (0 to ``most``) and taken (copies times size)."""
     ready(docs.sparkSession)
-    keep = [F.col(c) for c in docs.columns if c not in ADDED]
+    keep = docs.columns
     size = F.regexp_count(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(WORD)).cast("long")
     key = F.xxhash64(F.col(id_col), F.col(text_col))
     salt = F.pmod(key, F.lit(SALTS)).cast("int")
@@ -146,13 +150,13 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = plain.alias("d").join(plan.alias("p"), on).select("d.*", "p.source_size", "p.target", "p.rate", "p.base", "p.more").withColumn("mr_rank", rank)
     copies = F.when(F.col("size") == 0, F.lit(1)).otherwise((F.col("base") + (F.col("mr_rank") <= F.col("more")).cast("long")).cast("int"))
     rows = rows.withColumn("copies", copies.cast("int"))
-    return rows.select(*[c for c in docs.columns if c not in ADDED], "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return rows.select(*keep, "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
     """The documents of the mix, each as often as it is taken, with just their own columns."""
     names = docs.columns
     plain = [f"c{i}" for i in range(len(names))]
-    at = {c: plain[names.index(c)] for c in (id_col, text_col, source_col)}
-    rows = mix_sources(docs.toDF(*plain), at[id_col], at[text_col], at[source_col], weights, most)
+    at = [plain[column_at(names, c)] for c in (id_col, text_col, source_col)]
+    rows = mix_sources(docs.toDF(*plain), *at, weights, most)
     return rows.where("copies > 0").select(*plain, F.explode(F.sequence(F.lit(1), "copies"))).select(*plain).toDF(*names)

@@ -1,10 +1,11 @@
 """Rule bitmask ledger, with DataFrame functions only.
 
 ``ledger`` evaluates every rule once per document and stores the measurements and one long whose bit r says that rule r
-failed.  Policies are masks over those bits, kept by version: ``apply_policy`` compares bits, and ``ablations`` answers
-what each rule costs by counting the distinct bit patterns (at most 2 to the number of rules) once.
+failed; ``write_ledger`` keeps them, without the texts, so that later policies measure nothing again.  Policies are masks
+over those bits, kept by version: ``apply_policy`` compares bits, and ``ablations`` answers what each rule costs by
+counting the distinct bit patterns (at most 2 to the number of rules) once.
 
-Repeated three-word windows are found inside the row: the high half of each window's hash and its place form one long,
+Repeated three-word windows are found inside the row: the low half of each window's hash and its place form one long,
 an array of which sorts as primitives; places whose hash half has a neighbour are then compared by their words, so the
 count is exact.
 
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._shared import SPACES
+from millrace.llm._shared import SPACES, column_at, plain_columns
 
 #: Rules in bit order; a rule is SQL over the measurements that is true where a document fails.
 RULES: tuple[tuple[str, str], ...] = (
@@ -46,8 +47,7 @@ def _beside(sorted_array: Column, of) -> Column:
 def measured(docs: DataFrame, text_col: str) -> DataFrame:
     """``docs`` with the measurements of the whole text. Each step is a projection of its own, so that an array that a
     lambda looks into is made once."""
-    spare = [c for c in docs.columns if c not in MEASURES and not c.startswith("mr_")]
-    keep = [F.col(c) for c in spare]
+    keep = [F.col(c) for c in docs.columns]
     whole = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     solid = lambda line: F.trim(line, F.lit(SPACES)) != ""
     d = docs.select(*keep, whole.alias("mr_whole"), F.trim(whole, F.lit(SPACES)).alias("mr_text"))
@@ -77,18 +77,30 @@ def measured(docs: DataFrame, text_col: str) -> DataFrame:
     return d.select(*told, F.when(barrier, F.lit(0).cast("long")).otherwise(count).alias("n_repeat_words"))
 
 
+@plain_columns((*MEASURES, "fail_bits"), ("text_col",))
 def ledger(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` (texts included) with the measurements and ``fail_bits``."""
     bits = F.lit(0).cast("long")
     for i, (_, fails) in enumerate(RULES):
         bits = bits.bitwiseOR(F.when(F.expr(fails), F.lit(1 << i)).otherwise(F.lit(0)).cast("long"))
-    rows = measured(docs, text_col)
-    return rows.select(*[c for c in rows.columns if c not in ("fail_bits", "kept", "base_failed")], bits.alias("fail_bits"))
+    return measured(docs, text_col).withColumn("fail_bits", bits)
 
 
-def apply_policy(rows: DataFrame, policy: str) -> DataFrame:
+def write_ledger(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Writes the ledger of ``docs`` as Parquet, a row for each of theirs: its id, the measurements and ``fail_bits``.
+    Returns a scan of it, which ``apply_policy`` and ``ablations`` take like any ledger."""
+    names = docs.columns
+    rows = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    rows = rows.select(F.col(f"c{column_at(names, id_col)}").alias("id"), F.col(f"c{column_at(names, text_col)}").alias("text"))
+    kept = ledger(rows).select("id", *MEASURES, "fail_bits").toDF(id_col, *MEASURES, "fail_bits")
+    kept.write.mode("errorifexists").parquet(path)
+    return docs.sparkSession.read.schema(kept.schema).parquet(path)
+
+
+@plain_columns(("kept",), ("bits_col",))
+def apply_policy(rows: DataFrame, policy: str, bits_col: str = "fail_bits") -> DataFrame:
     """A ledger with ``kept``: no rule of the policy failed."""
-    return rows.withColumn("kept", F.col("fail_bits").bitwiseAND(F.lit(mask(policy))) == 0)
+    return rows.withColumn("kept", F.col(bits_col).bitwiseAND(F.lit(mask(policy))) == 0)
 
 
 def ablations(rows: DataFrame, policy: str) -> DataFrame:
@@ -110,5 +122,5 @@ def filter_documents(docs: DataFrame, text_col: str = "text", policy: str = "v2"
     """The documents a policy keeps, with just their own columns, whatever their names."""
     names = docs.columns
     plain = [f"c{i}" for i in range(len(names))]
-    rows = apply_policy(ledger(docs.toDF(*plain), plain[names.index(text_col)]), policy)
+    rows = apply_policy(ledger(docs.toDF(*plain), plain[column_at(names, text_col)]), policy)
     return rows.where("kept").select(*plain).toDF(*names)
