@@ -100,6 +100,29 @@ def base_spans(t):
     return sorted(out)
 
 
+def linked_spans(t, reach=200):
+    """Weak parts and their complements, by a comparison of all parts with all."""
+    base = base_spans(t)
+    apart = lambda x, y: x[2] <= y[0] or y[2] <= x[0]
+    gap = lambda x, y: max(x[0] - y[2], y[0] - x[2])
+    find = lambda kind, pattern: [(m.start(), kind, m.end()) for m in re.finditer(pattern, t)]
+
+    def random(s):
+        c = [x for x in s if x.isalnum()]
+        changes = sum(a.isdigit() != b.isdigit() for a, b in zip(c, c[1:]))
+        return changes >= 4 or (any("0" <= x <= "9" for x in s) and s.upper() != s and s.lower() != s)
+
+    ids = [x for x in find(3, r"""(?ai:username|user|login|client_id|clientid|account)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@+-]{3,})""") if all(apart(x, b) for b in base)]
+    tokens = [x for x in find(4, r"[A-Za-z0-9+/_-]{20,}={0,2}") if random(t[x[0] : x[2]]) and all(apart(x, b) for b in base)]
+    urls = find(5, r"""(?a:[a-z][a-z0-9+.-]*://[^\s"'<>]+)""")
+    names, secrets = ids + [b for b in base if b[1] == 1], tokens + [b for b in base if b[1] != 1]
+    near = lambda x, ys: any(gap(x, y) <= reach for y in ys)
+    beside = lambda x, ys: any(apart(x, y) and gap(x, y) <= reach for y in ys)
+    out = [x for x in tokens if beside(x, names) or beside(x, urls)]
+    out += [x for x in ids if beside(x, secrets)]
+    return sorted(base + out + [x for x in urls if near(x, names) and near(x, secrets)])
+
+
 def clashing(df, *names):
     """The table with more columns of the given names."""
     from pyspark.sql import functions as F

@@ -28,6 +28,22 @@ def test_shards(docs, rows, empty):
     assert sharding.shuffle_into_shards(empty).count() == 0
 
 
+def test_shards_of_repeated_rows(spark):
+    """Copies of one row scatter over buckets like other rows; no task has them all."""
+    rows = [(1, "same text " * 5, None)] * 3000 + [(i, f"own {i} " * 5, float(i)) for i in range(1500)] + [(None, None, None)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, `Extra.col` double").repartition(6)
+    got = sharding.shuffle_into_shards(df, shards=5, bucket_bytes=20_000)
+    assert got.columns == ["doc_id", "text", "Extra.col", "shard", "slot"]
+    sizes = got.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert len(sizes) > 10 and max(r["count"] for r in sizes) < 2 * len(rows) / len(sizes)
+    first = [tuple(r) for r in got.collect()]
+    assert sorted((r[:3] for r in first), key=repr) == sorted(rows, key=repr)
+    assert all(sorted(r[4] for r in first if r[3] == s) == list(range(sum(r[3] == s for r in first))) for s in range(5))
+    assert sorted(first, key=repr) == sorted((tuple(r) for r in sharding.shuffle_into_shards(df.repartition(3), shards=5, bucket_bytes=20_000).collect()), key=repr)
+    by_shard = [sum(r[0] == 1 and r[3] == s for r in first) for s in range(5)]
+    assert all(450 < n < 750 for n in by_shard)
+
+
 def test_shard_files(docs, tmp_path, spark):
     sharding.write_shards(docs, str(tmp_path / "out"), shards=3, bucket_bytes=3000)
     back = spark.read.parquet(str(tmp_path / "out"))
@@ -60,6 +76,26 @@ def test_weak_parts_need_their_complement():
     assert kinds(far) == [] and kinds(far, 2000) == ["identifier", "token"]
 
 
+def test_linking_against_all_parts():
+    rng = random.Random(12)
+    bits = CASES[:14] + ["user: deploy", "login='root.x'", "account=token=abcdefgh1", "https://db.example.org/x?user=abc&token=Zx9aQw7eRt5yUi3oPl1kJh", "Zx9aQw7eRt5yUi3oPl1kJh", "0a1b2c3d-4e5f-6789-abcd-0123456789ab", "2024-some-long-article-title", "a+b://x", "9x://y", "://", "x://", "x://a://b", "x" * 30, " " * 150, "w " * 120, "user: Zx9aQw7eRt5yUi3oPl1kJh", "ftp.host:21"]
+    for _ in range(1500):
+        t = "".join((rng.choice(bits) or "") + rng.choice(["", " ", "\n", '"']) for _ in range(rng.randint(1, 14)))
+        reach = rng.choice([0, 1, 20, 200])
+        assert secrets.find_spans(t, reach) == brute.linked_spans(t, reach), t
+
+
+def test_long_and_dense_texts_take_little_time():
+    import time
+
+    n = 1 << 20
+    dense = ("token=" + "x" * 20000 + " " + "token=abcdefgh1 user: someone " * 30000)[:n]
+    for t in ("a" * (n - 8) + "://x", "a-" * (n // 2), "x://" * (n // 4), dense, "user=" * (n // 5), "://" * (n // 3), "token" + " " * n):
+        began = time.process_time()
+        secrets.find_spans(t)
+        assert time.process_time() - began < 6  # some tenths of a second; quadratic scans take minutes
+
+
 def test_bpe_against_the_library(docs, rows, empty):
     from tokenizers import Tokenizer
 
