@@ -9,9 +9,15 @@ lookup is as-of: keys of one hash in one conversation, in order of turn, each ca
 that thousands of messages share costs their number and no pairs.  A message replies to the message that most lines of
 its outermost quotes come from.
 
+Replies make trees. Each message gets its thread (the turn of the tree's root), its depth under it and its place among the
+thread's messages with every reply under what it answers, so a conversation in order of (thread, place) is in reply order
+and free of quotes.  Places come from the tour of a tree that goes down and up every message once: each step knows the one
+before it, and doubling these pointers in rounds ranks a tour of any length without holding it anywhere.  The messages
+that answer one message are put in order by ranges, so an answer to one that a third of all answer is no single task's.
+
 Defined results: a null text is an empty one; a null turn comes before all others (quotes of it count in ``n_linked``,
-with ``reply_to`` null, which is its turn) and a null conversation is a conversation; quotes of nothing found leave
-``reply_to`` null and ``n_linked`` 0; of messages with one conversation and turn (repeated
+with ``reply_to`` null, which is its turn; it is a thread of its own) and a null conversation is a conversation; quotes
+of nothing found leave ``reply_to`` null and ``n_linked`` 0; of messages with one conversation and turn (repeated
 rows) each is a row, and what they quote is pooled; extra columns are ignored; an empty table gives an empty result.
 """
 
@@ -24,11 +30,12 @@ from hashlib import blake2b
 from itertools import accumulate
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm._shared import SPACES, WORD, ready, settled
+from millrace.llm._shared import SPACES, WORD, plain_columns, ready, settled, unsettle
 
 _MARKS = r"^(?:[\x20\x09]*>)+"
 #: A quote of fewer words links only to a whole line, paragraph or passage.
@@ -152,12 +159,78 @@ def reply_links(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     return votes.groupBy("conv", "turn").agg(F.sum("n").alias("n_quoted"), F.sum(F.when(F.col("origin").isNotNull(), F.col("n")).otherwise(0)).alias("n_linked"), best["origin"]["turn"].alias("reply_to"))
 
 
+def _in_order(edges: DataFrame) -> DataFrame:
+    """``edges`` (conv, up, turn) with before: the turn that comes before it among those of one conv and up.  Sorted in
+    ranges; a range's first row gets it from the last row of the range before, one row a range."""
+    order = [F.asc_nulls_first("conv"), F.asc("up"), F.asc("turn")]
+    conv = edges.schema["conv"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last, opening = TaskContext.get().partitionId(), None, True
+        for b in batches:
+            if not b.num_rows:
+                continue
+            convs, ups, turns = (c.to_pylist() for c in b.columns)
+            before, first = [], []
+            for row in zip(convs, ups, turns):
+                before.append(last[2] if last and last[:2] == row[:2] else None)
+                first.append(part if opening else None)
+                opening, last = False, row
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(before, pa.int64()), pa.array(first, pa.int32()), pa.nulls(len(turns), pa.int32())], names)
+        if last:
+            yield pa.RecordBatch.from_arrays([pa.array([x], c.type) for x, c in zip(last, b.columns)] + [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.array([part], pa.int32())], names)
+
+    names = ["conv", "up", "turn", "before", "first", "last"]
+    kinds = T.StructType([conv, *(T.StructField(n, T.LongType()) for n in names[1:4]), *(T.StructField(n, T.IntegerType()) for n in names[4:])])
+    rows = settled(edges.select("conv", "up", "turn").repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, kinds), "siblings")
+    ends = rows.where("last is not null").select("conv", "up", F.col("turn").alias("end"), "last")
+    opens = rows.where("first is not null").select("conv", "up", "turn", "first")
+    # ranges may be empty, so the one before is the nearest; both sides have a row a range
+    near = opens.alias("o").join(ends.alias("e"), _same("o", "e", "conv", "up") & (F.col("e.last") < F.col("o.first"))).groupBy("o.conv", "o.up", "o.turn").agg(F.max_by("e.end", "e.last").alias("end"))
+    out = rows.where("last is null").alias("r").join(near.alias("n"), _same("r", "n", "conv", "up", "turn"), "left")
+    return out.select("r.conv", "r.up", "r.turn", F.coalesce("r.before", "n.end").alias("before"))
+
+
+def threads(links: DataFrame) -> DataFrame:
+    """conv, turn, thread, depth, place of every message that replies or is replied to. ``links`` has conv, turn and
+    reply_to, a row a message."""
+    edges = settled(links.where("reply_to is not null").select("conv", F.col("reply_to").alias("up"), "turn"), "replies")
+    if edges.isEmpty():
+        return edges.select("conv", "turn", F.col("up").alias("thread"), F.lit(0).cast("long").alias("depth"), F.lit(0).cast("long").alias("place"))
+    placed = settled(_in_order(edges), "ordered")
+    lasts = placed.groupBy("conv", "up").agg(F.max("turn").alias("low"))  # the answer a message is left by last
+    nodes = edges.select("conv", "turn").union(edges.select("conv", F.col("up").alias("turn"))).distinct()
+    at = lambda turn, up: F.struct(turn.alias("turn"), F.lit(up).alias("up"))
+    # steps (turn, False) go down to a message, (turn, True) up from it; each with the step before it
+    down = nodes.alias("n").join(placed.alias("p"), _same("n", "p", "conv", "turn"), "left").select(
+        "n.conv", at(F.col("n.turn"), False).alias("step"), F.when(F.col("p.before").isNotNull(), at(F.col("p.before"), True)).when(F.col("p.up").isNotNull(), at(F.col("p.up"), False)).alias("to"))
+    up = nodes.alias("n").join(lasts.alias("c"), F.col("n.conv").eqNullSafe(F.col("c.conv")) & (F.col("n.turn") == F.col("c.up")), "left").select(
+        "n.conv", at(F.col("n.turn"), True).alias("step"), F.when(F.col("c.low").isNotNull(), at(F.col("c.low"), True)).otherwise(at(F.col("n.turn"), False)).alias("to"))
+    one = F.when(F.col("step.up"), F.lit(-1)).otherwise(F.lit(1)).cast("long")
+    # what a step has counted: itself and all steps back to ``to``, which is the root's first step once ``done``
+    now = settled(down.union(up).select("conv", "step", F.coalesce("to", "step").alias("to"), F.when(F.col("to").isNull(), F.lit(0)).otherwise(F.greatest(one, F.lit(0))).cast("long").alias("place"), F.when(F.col("to").isNull(), F.lit(0)).otherwise(one).cast("long").alias("depth"), F.col("to").isNull().alias("done")), "tour")
+    while not now.where("not done").isEmpty():
+        x, y = now.where("not done").alias("x"), now.alias("y")
+        on = F.col("x.conv").eqNullSafe(F.col("y.conv")) & (F.col("x.to") == F.col("y.step"))
+        moved = x.join(y, on).select("x.conv", "x.step", "y.to", (F.col("x.place") + F.col("y.place")).alias("place"), (F.col("x.depth") + F.col("y.depth")).alias("depth"), "y.done")
+        after = settled(now.where("done").union(moved), "tour")
+        unsettle(now)
+        now = after
+    return now.where("not step.up").select("conv", "step.turn", F.col("to.turn").alias("thread"), "depth", "place")
+
+
+@plain_columns(None, ("conv_col", "turn_col", "role_col", "text_col"))
 def link_quotations(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """conv_id, turn, role, text (own lines only), n_quoted, n_linked, reply_to; a reply's turn is always after the one
-    it replies to, so conversations are in reply order by turn."""
+    """conv_id, turn, role, text (own lines only), n_quoted, n_linked, reply_to, thread, depth, place; a conversation in
+    order of thread and place is in reply order."""
     ready(messages.sparkSession)
     own = F.filter(F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n"), lambda x: ~x.rlike(_MARKS))
     rows = messages.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), F.trim(F.concat_ws("\n", own), F.lit(SPACES)).alias("text"))
-    links = reply_links(messages, conv_col, turn_col, text_col)
-    out = rows.alias("m").join(links.alias("l"), F.col("m.conv_id").eqNullSafe(F.col("l.conv")) & F.col("m.turn").eqNullSafe(F.col("l.turn")), "left")
-    return out.select("m.conv_id", "m.turn", "m.role", "m.text", F.coalesce("l.n_quoted", F.lit(0)).alias("n_quoted"), F.coalesce("l.n_linked", F.lit(0)).alias("n_linked"), "l.reply_to")
+    links = settled(reply_links(messages, conv_col, turn_col, text_col), "links")
+    on = lambda other: F.col("m.conv_id").eqNullSafe(F.col(f"{other}.conv")) & F.col("m.turn").eqNullSafe(F.col(f"{other}.turn"))
+    out = rows.alias("m").join(links.alias("l"), on("l"), "left").join(threads(links).alias("t"), on("t"), "left")
+    none = F.lit(0).cast("long")
+    return out.select(
+        "m.conv_id", "m.turn", "m.role", "m.text", F.coalesce("l.n_quoted", none).alias("n_quoted"), F.coalesce("l.n_linked", none).alias("n_linked"), "l.reply_to",
+        F.coalesce("t.thread", "m.turn").alias("thread"), F.coalesce("t.depth", none).alias("depth"), F.coalesce("t.place", none).alias("place"),
+    )
