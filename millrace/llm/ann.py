@@ -2,14 +2,19 @@
 
 Coarse centroids and residual codebooks are fitted on a bounded sample (the rows with the smallest hashes of their ids,
 ``SAMPLE_PER_LIST`` for each list).  Every valid row is indexed: the list of its nearest centroid and one byte per
-subspace for what is left.  A query looks into its ``probes`` nearest lists; a table of its products with all codewords
-makes an asymmetric distance one lookup a subspace.  The best by that measure, with all that tie with the last of them,
-are scored again on the original vectors in double precision, and the nearest of them returned.
+subspace for what is left.  A query looks into its ``probes`` nearest lists, and into more where those hold too few
+vectors; a table of its products with all codewords makes an asymmetric distance one lookup a subspace.  The best by that
+measure, with all that tie with the last of them, are scored again on the original vectors in double precision, and the
+nearest of them returned.  How many lists are enough is measured: ``ASKED`` vectors of the sample are compared with every
+row, and the lists of their true neighbours counted.
 
 Equal vectors are one row of the index with the smallest of their ids, so any number of copies leaves room for others.
 
 Lists are split into blocks of bounded size by a hash of the id, so a list that holds a third of all rows is worked on by
-many tasks; queries meet a block's rows in blocks, and only the k best ids of each block leave it.
+many tasks, and the queries that look into a list into parts of bounded size; a task has one block and one part, and only
+the k best ids of each query leave it.  There are as many lists as the root of the rows, up to ``MOST_LISTS``: the sample
+and the centroids stay within the driver's memory, and beyond the square of that (17 million rows) work grows as rows
+times queries, as it does for any fixed number of lists.
 
 Defined results: vectors that are null, zero, of another length than most, or hold null or non-finite components take no
 part, nor do null ids; an id that repeats counts once, with its best score; ties go to the smaller id; extra columns are
@@ -18,6 +23,7 @@ ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,13 +32,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm._shared import ready, settled, unsettle
+from millrace.llm._shared import column_at, ready, settled, unsettle
+
+log = logging.getLogger(__name__)
 
 SUBSPACES = 16
 CODEWORDS = 256
 SAMPLE_PER_LIST = 64
-MOST_LISTS = 2048
+MOST_LISTS = 4096
 BLOCK_ROWS = 20_000
+#: Queries that meet a block of rows in one task.
+ASK_ROWS = 8192
+#: Vectors of the sample whose true neighbours tell how many lists to look into.
+ASKED = 256
 QUERY_BLOCK = 256
 #: Query and row pairs that are scored exactly at a time, at most.
 PAIRS = 1 << 20
@@ -74,19 +86,14 @@ class Index:
         left = x - self.centres[at]
         return at, np.stack([_nearest(left[:, a:b], book) for (a, b), book in zip(zip(self.cuts, self.cuts[1:]), self.books)], axis=1).astype(np.uint8)
 
-    def probes_for(self, sample: np.ndarray, k: int, recall: float, seed: int = 11) -> int:
-        """Lists a query must look into so that ``recall`` of its true neighbours, taken within the sample, lie there."""
-        asked = np.random.default_rng(seed).choice(len(sample), min(256, len(sample)), replace=False)
-        near = sample[asked] @ sample.T
-        near[np.arange(len(asked)), asked] = -np.inf
-        k = min(k, len(sample) - 1)
-        if k < 1:
+    def probes_for(self, asked: np.ndarray, who: np.ndarray, lists: np.ndarray, recall: float) -> int:
+        """Lists a query must look into so that ``recall`` of the neighbours (of ``asked[who]``, in ``lists``) lie there."""
+        if not len(who):
             return len(self.centres)
-        true = np.argpartition(-near, k - 1, axis=1)[:, :k]
-        order = np.argsort(-(sample[asked] @ self.centres.T), axis=1)
+        order = np.argsort(-(asked @ self.centres.T), axis=1)
         rank = np.empty_like(order)
         np.put_along_axis(rank, order, np.broadcast_to(np.arange(len(self.centres)), order.shape), axis=1)
-        needed = np.sort(np.take_along_axis(rank, _nearest(sample, self.centres)[true], axis=1).ravel())
+        needed = np.sort(rank[who, lists])
         return int(needed[min(len(needed) - 1, int(np.ceil(len(needed) * recall)) - 1)]) + 1
 
     def tables(self, q: np.ndarray) -> np.ndarray:
@@ -143,28 +150,57 @@ def _nearest_ids(who: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) ->
     return at[np.arange(len(at)) - np.repeat(starts, np.diff(np.r_[starts, len(at)])) < k]
 
 
+def true_lists(coded: DataFrame, asked: np.ndarray, ids: np.ndarray, kind: type, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(which of ``asked``, list) of the ``k`` nearest rows of each, itself aside: every row is looked at, a task keeps k
+    a vector, and k a vector come to the driver."""
+    shared = coded.sparkSession.sparkContext.broadcast((asked, ids))
+
+    def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        q, own = shared.value
+        score, lists = np.full((len(q), k), -np.inf, np.float32), np.full((len(q), k), -1)
+        for f in frames:
+            x = _unit(pd.Series([np.frombuffer(b, kind) for b in f["x"]]))
+            near = q @ x.T
+            near[own[:, None] == f["vec_id"].to_numpy()[None, :]] = -np.inf
+            both = np.concatenate([score, near], axis=1)
+            at = np.argpartition(-both, k - 1, axis=1)[:, :k]
+            names = np.concatenate([lists, np.broadcast_to(f["list"].to_numpy(), near.shape)], axis=1)
+            score, lists = np.take_along_axis(both, at, axis=1), np.take_along_axis(names, at, axis=1)
+        who, place = np.nonzero(score > -np.inf)
+        yield pd.DataFrame({"who": who, "list": lists[who, place], "near": score[who, place]})
+
+    found = coded.select("list", "vec_id", "x").mapInPandas(best, "who int, list int, near float")
+    rank = F.row_number().over(Window.partitionBy("who").orderBy(F.desc("near"), "list"))
+    near = found.withColumn("r", rank).where(F.col("r") <= k).select("who", "list").toPandas()
+    return near["who"].to_numpy(), near["list"].to_numpy()
+
+
 def search(rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, recall: float = 0.98, least_probes: int = 16, refine: int = 250) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each row of ``queries`` its ``k`` nearest among ``rows`` but itself.
 
-    A query probes as many lists as the sample's own neighbours need for ``recall`` (``least_probes`` at least), and
+    A query probes as many lists as the true neighbours of a part of the sample need for ``recall`` (``least_probes`` at
+    least, and so many that they hold ``k`` others), and
     scores the best ``refine`` vectors of each block exactly, with all that tie with the last of them."""
     spark = ready(rows.sparkSession)
-    good = valid_vectors(rows, id_col, vector_col)
+    at = [column_at(rows.columns, c) for c in (id_col, vector_col)]
+    rows = rows.toDF(*[f"c{i}" for i in range(len(rows.columns))]).select(F.col(f"c{at[0]}").alias("id"), F.col(f"c{at[1]}").alias("v"))
+    at = [column_at(queries.columns, c) for c in (id_col, vector_col)]
+    queries = queries.toDF(*[f"c{i}" for i in range(len(queries.columns))]).select(F.col(f"c{at[0]}").alias("id"), F.col(f"c{at[1]}").alias("v"))
+    good = valid_vectors(rows, "id", "v")
     dims = good.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
     empty = "query_id long, rank int, vec_id long, score double"
     if dims is None:
         return spark.createDataFrame([], empty)
     good = good.where(F.size("v") == dims["d"])
-    asked = valid_vectors(queries, id_col, vector_col).where(F.size("v") == dims["d"])
-    kind = np.float32 if dict(rows.dtypes)[vector_col] == "array<float>" else np.float64
+    asked = valid_vectors(queries, "id", "v").where(F.size("v") == dims["d"])
+    kind = np.float32 if dict(rows.dtypes)["v"] == "array<float>" else np.float64
     distinct = settled(classes(good, k).withColumn("v", F.col("v").cast("array<float>" if kind is np.float32 else "array<double>")), "classes")
     n = distinct.count()
     lists = int(np.clip(2 ** round(np.log2(max(1.0, n**0.5))), 1, MOST_LISTS))
-    sample = distinct.orderBy(F.xxhash64("vec_id"), "vec_id", F.xxhash64("v")).limit(max(4096, SAMPLE_PER_LIST * lists)).select("v").toPandas()
+    sample = distinct.orderBy(F.xxhash64("vec_id"), "vec_id", F.xxhash64("v")).limit(max(4096, SAMPLE_PER_LIST * lists)).select("vec_id", "v").toPandas()
     units = _unit(sample["v"])
     index = Index(units, min(lists, len(units)))
     lists = len(index.centres)
-    probes = min(lists, max(least_probes, index.probes_for(units, k, recall)))
     shared = spark.sparkContext.broadcast(index)  # bounded by MOST_LISTS and CODEWORDS
 
     def code(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -172,6 +208,14 @@ def search(rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_c
             at, codes = shared.value.codes(_unit(f["v"]))
             yield pd.DataFrame({"list": at.astype(np.int32), "vec_id": f["vec_id"], "ids": f["ids"], "codes": [c.tobytes() for c in codes], "x": [np.asarray(v, kind).tobytes() for v in f["v"]]})
 
+    coded = settled(distinct.mapInPandas(code, "list int, vec_id long, ids array<long>, codes binary, x binary"), "ivf")
+    unsettle(distinct)
+    probes = min(lists, max(least_probes, index.probes_for(units[:ASKED], *true_lists(coded, units[:ASKED], sample["vec_id"].to_numpy()[:ASKED], kind, k), recall)))
+    held = np.zeros(lists, dtype=np.int64)  # ids in each list
+    for r in coded.groupBy("list").agg(F.sum(F.size("ids")).alias("n")).collect():
+        held[r["list"]] = r["n"]
+    log.info("%d of %d lists are probed", probes, lists)
+
     def probe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             q = _unit(f["v"])
@@ -179,13 +223,25 @@ def search(rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_c
             first = score.copy()
             first[np.arange(len(q)), _nearest(q, shared.value.centres)] = np.inf  # the list of its own copies
             near = np.argpartition(-first, probes - 1, axis=1)[:, :probes]
-            yield pd.DataFrame({"list": near.ravel().astype(np.int32), "query_id": np.repeat(f["vec_id"].to_numpy(), probes), "base": np.take_along_axis(score, near, axis=1).ravel(), "q": [x for v in f["v"] for x in [np.asarray(v, np.float64).tobytes()] * probes]})
+            who, of = np.repeat(np.arange(len(q)), probes), near.ravel()
+            few = np.flatnonzero(held[near].sum(axis=1) <= k)  # of which one may be the query
+            if len(few):
+                order = np.argsort(-first[few], axis=1, kind="stable")
+                upto = np.cumsum(held[order], axis=1)
+                more = np.arange(lists)[None, :] < np.maximum(probes, (upto <= k).sum(axis=1) + 1)[:, None]
+                enough = ~np.isin(who, few)
+                who, of = np.concatenate([who[enough], few[np.nonzero(more)[0]]]), np.concatenate([of[enough], order[more]])
+            raw = [np.asarray(v, np.float64).tobytes() for v in f["v"]]
+            yield pd.DataFrame({"list": of.astype(np.int32), "query_id": f["vec_id"].to_numpy()[who], "base": score[who, of], "q": [raw[i] for i in who]})
 
-    coded = settled(distinct.mapInPandas(code, "list int, vec_id long, ids array<long>, codes binary, x binary"), "ivf")
-    unsettle(distinct)
     blocks = coded.groupBy("list").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
     placed = coded.join(blocks, "list").withColumn("block", F.pmod(F.xxhash64("vec_id", "x"), F.col("blocks")).cast("int")).drop("blocks", "vec_id")
-    asks = asked.mapInPandas(probe, "list int, query_id long, base float, q binary").join(blocks, "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    asks = settled(asked.mapInPandas(probe, "list int, query_id long, base float, q binary"), "asks")
+    parts = asks.groupBy("list").agg(F.ceil(F.count("*") / ASK_ROWS).cast("int").alias("parts"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    placed = placed.join(parts, "list").withColumn("part", every("parts")).drop("parts")
+    asks = asks.join(parts, "list").withColumn("part", F.pmod(F.xxhash64("query_id", "q"), F.col("parts")).cast("int")).drop("parts")
+    asks = asks.join(blocks, "list").withColumn("block", every("blocks")).drop("blocks")
 
     def scan(rows: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
         made = []
@@ -222,7 +278,7 @@ def search(rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_c
                     made.append(pd.DataFrame({"query_id": who[i[at[best]]], "vec_id": named[best], "score": score[at[best]]}))
         return pd.concat(made, ignore_index=True) if made else pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
 
-    found = placed.groupBy("list", "block").cogroup(asks.groupBy("list", "block")).applyInPandas(scan, "query_id long, vec_id long, score double")
+    found = placed.groupBy("list", "block", "part").cogroup(asks.groupBy("list", "block", "part")).applyInPandas(scan, "query_id long, vec_id long, score double")
     scored = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
