@@ -43,6 +43,11 @@ def op4_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "fail_bits")
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of policy v2 costs, from the ledger of op 4."""
+    return quality.ablations(quality.ledger(table(spark, sf_dir, "documents").select("doc_id", "text")), "v2")
+
+
 def op5_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     said = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
@@ -101,18 +106,46 @@ b AS (SELECT *, (CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_re
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM b
 """
 
+ABLATIONS_SQL = rf"""
+WITH q AS ({OP4_SQL}), r AS (SELECT unnest([{", ".join(str(1 << i) for i in range(len(quality.RULES)))}]) AS bit, unnest([{", ".join(repr(n) for n, _ in quality.RULES)}]) AS rule)
+SELECT r.rule, (count(*) FILTER (q.fail_bits & r.bit <> 0))::BIGINT AS failed, (count(*) FILTER (q.fail_bits = r.bit))::BIGINT AS failed_alone,
+  (count(*) FILTER (q.fail_bits & ~r.bit = 0))::BIGINT AS kept_without FROM q, r GROUP BY r.rule
+"""
+
 OP6_SQL = r"""
-WITH l AS (SELECT conv_id, turn, i, line, length(regexp_extract(line, '^(?:[\x20\x09]*>)+')) - length(replace(regexp_extract(line, '^(?:[\x20\x09]*>)+'), '>', '')) AS level
-   FROM (SELECT conv_id, turn, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS i FROM conversations)),
-k AS (SELECT *, lower(trim(regexp_replace(regexp_replace(line, '^(?:[\x20\x09]*>)+', ''), '[\x20\x09-\x0D]+', ' ', 'g'))) AS k FROM l),
-q AS (SELECT q.conv_id, q.turn, q.i, q.level, max(o.turn) AS origin FROM k q LEFT JOIN k o ON o.conv_id = q.conv_id AND o.k = q.k AND o.level = 0 AND o.turn < q.turn
-   WHERE q.level > 0 AND q.k <> '' GROUP BY ALL),
-v AS (SELECT conv_id, turn, origin, count(*) AS n, count(*) FILTER (level = o) AS votes FROM (SELECT *, min(level) OVER (PARTITION BY conv_id, turn) AS o FROM q) GROUP BY ALL),
+WITH RECURSIVE s AS (SELECT conv_id, turn, string_split(coalesce(text, ''), chr(10)) AS lines FROM conversations),
+u AS (SELECT conv_id, turn, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS i FROM s),
+m AS (SELECT *, regexp_extract(line, '^(?:[\x20\x09]*>)+') AS marks FROM u),
+l AS (SELECT conv_id, turn, i, line, length(marks) - length(replace(marks, '>', '')) AS mark,
+   trim(regexp_replace(translate(substr(line, length(marks) + 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g')) AS k FROM m),
+b AS (SELECT *, last_value(CASE WHEN mark = 0 OR k <> '' THEN mark END IGNORE NULLS) OVER (PARTITION BY conv_id, turn ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS held FROM l),
+e AS (SELECT *, CASE WHEN mark > 0 AND k = '' AND held > 0 THEN held ELSE mark END AS level FROM b),
+g AS (SELECT *, sum(CASE WHEN level <> coalesce(before, 0) THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id, turn ORDER BY i) AS p
+   FROM (SELECT *, lag(level) OVER (PARTITION BY conv_id, turn ORDER BY i) AS before FROM e)),
+h AS (SELECT *, sum(CASE WHEN k = '' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id, turn, p ORDER BY i) AS q FROM g),
+w AS (SELECT conv_id, turn, i, level, k, string_agg(k, ' ') OVER (PARTITION BY conv_id, turn, p ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS passage,
+   string_agg(k, ' ') OVER (PARTITION BY conv_id, turn, p, q ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS paragraph FROM h WHERE k <> ''),
+own AS (SELECT DISTINCT conv_id, turn, unnest([passage, paragraph, k]) AS key FROM w WHERE level = 0),
+inner_ AS (SELECT DISTINCT conv_id, turn, ' ' || passage || ' ' AS passage FROM w WHERE level = 0),
+asked AS (SELECT DISTINCT conv_id, turn, unnest([passage, paragraph, k]) AS key FROM w WHERE level > 0),
+whole AS (SELECT a.conv_id, a.turn, a.key, max(o.turn) AS origin FROM asked a LEFT JOIN own o ON o.conv_id = a.conv_id AND o.key = a.key AND o.turn < a.turn GROUP BY ALL),
+part AS (SELECT a.conv_id, a.turn, a.key, max(o.turn) AS origin FROM whole a JOIN inner_ o ON o.conv_id = a.conv_id AND o.turn < a.turn AND contains(o.passage, ' ' || a.key || ' ')
+   WHERE a.origin IS NULL AND len(string_split(a.key, ' ')) >= 4 GROUP BY ALL),
+f AS (SELECT a.conv_id, a.turn, a.key, coalesce(a.origin, p.origin) AS origin FROM whole a LEFT JOIN part p ON p.conv_id = a.conv_id AND p.turn = a.turn AND p.key = a.key),
+o AS (SELECT w.conv_id, w.turn, w.level, coalesce(x.origin, y.origin, z.origin) AS origin, min(w.level) OVER (PARTITION BY w.conv_id, w.turn) AS outermost FROM w
+   JOIN f x ON x.conv_id = w.conv_id AND x.turn = w.turn AND x.key = w.passage
+   JOIN f y ON y.conv_id = w.conv_id AND y.turn = w.turn AND y.key = w.paragraph
+   JOIN f z ON z.conv_id = w.conv_id AND z.turn = w.turn AND z.key = w.k WHERE w.level > 0),
+v AS (SELECT conv_id, turn, origin, count(*) AS n, count(*) FILTER (level = outermost) AS votes FROM o GROUP BY ALL),
 r AS (SELECT conv_id, turn, sum(n) AS n_quoted, coalesce(sum(n) FILTER (origin IS NOT NULL), 0) AS n_linked,
    (arg_max(origin, (votes, n, origin)) FILTER (origin IS NOT NULL)) AS reply_to FROM v GROUP BY ALL),
-t AS (SELECT conv_id, turn, trim(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (level = 0), ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS text FROM l GROUP BY ALL)
-SELECT m.conv_id, m.turn, m.role, t.text, coalesce(r.n_quoted, 0)::BIGINT AS n_quoted, coalesce(r.n_linked, 0)::BIGINT AS n_linked, r.reply_to
-FROM conversations m JOIN t ON t.conv_id = m.conv_id AND t.turn = m.turn LEFT JOIN r ON r.conv_id = m.conv_id AND r.turn = m.turn
+t AS (SELECT conv_id, turn, trim(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (mark = 0), ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS text FROM l GROUP BY ALL),
+a AS (SELECT m.conv_id, m.turn, m.role, t.text, coalesce(r.n_quoted, 0)::BIGINT AS n_quoted, coalesce(r.n_linked, 0)::BIGINT AS n_linked, r.reply_to
+   FROM conversations m JOIN t ON t.conv_id = m.conv_id AND t.turn = m.turn LEFT JOIN r ON r.conv_id = m.conv_id AND r.turn = m.turn),
+tree AS (SELECT conv_id, turn, turn::BIGINT AS thread, 0::BIGINT AS depth, [turn] AS way FROM a WHERE reply_to IS NULL
+   UNION ALL SELECT a.conv_id, a.turn, tree.thread, tree.depth + 1, list_append(tree.way, a.turn) FROM a JOIN tree ON tree.conv_id = a.conv_id AND tree.turn = a.reply_to)
+SELECT a.conv_id, a.turn, a.role, a.text, a.n_quoted, a.n_linked, a.reply_to, tree.thread, tree.depth, row_number() OVER (PARTITION BY a.conv_id, tree.thread ORDER BY tree.way) - 1 AS place
+FROM a JOIN tree ON tree.conv_id = a.conv_id AND tree.turn = a.turn
 """
 
 OP7_SQL = rf"""
@@ -158,9 +191,9 @@ FROM m GROUP BY doc_id
 
 QUERIES = {f.__name__: f for f in (
     op1_ivf_pq_neighbours, op2_external_shuffle, op3_entropy_balanced_mix, op4_quality_ledger, op5_linked_secrets,
-    op6_quotation_linking, op7_minhash_near_duplicates, op8_substring_dedup, op9_bpe_round_trip, op10_line_dedup,
+    op6_quotation_linking, op7_minhash_near_duplicates, op8_substring_dedup, op9_bpe_round_trip, op10_line_dedup, quality_ablations,
 )}
 ORACLES = {
     "op4_quality_ledger": OP4_SQL, "op6_quotation_linking": OP6_SQL, "op7_minhash_near_duplicates": OP7_SQL,
-    "op8_substring_dedup": OP8_SQL, "op10_line_dedup": OP10_SQL,
+    "op8_substring_dedup": OP8_SQL, "op10_line_dedup": OP10_SQL, "quality_ablations": ABLATIONS_SQL,
 }

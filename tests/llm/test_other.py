@@ -164,6 +164,43 @@ def test_neighbours(spark):
     assert hits / total >= 0.9
 
 
+@pytest.mark.parametrize("n", [1500, 6000])
+def test_recall_and_lists_probed(spark, n, caplog):
+    """On clustered vectors fewer than half the lists are looked into, at either size, and the recall holds."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 12))
+    x = (centres[rng.integers(0, 40, n)] + 0.3 * rng.normal(size=(n, 12))).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(n)], "vec_id long, embedding array<float>").repartition(4)
+    with caplog.at_level("INFO", logger="millrace.llm.ann"):
+        got = ann.search(df, df.where("vec_id % 50 = 0"), k=5, least_probes=2).collect()
+    probes, lists = caplog.records[-1].args[:2]
+    assert probes < lists / 2
+    found = {}
+    for r in got:
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = sum(len({i for _, i in exact(x.astype(np.float64), q, 5)} & near) for q, near in found.items())
+    assert len(found) == n // 50 and hits / (5 * len(found)) >= 0.9
+
+
+def test_lists_with_few_rows_are_not_the_end(spark):
+    """Where the nearest lists hold fewer vectors than asked for, more are looked into."""
+    x = [[float(np.cos(i / 9)), float(np.sin(i / 9))] for i in range(40)]
+    df = spark.createDataFrame(list(enumerate(x)), "vec_id long, embedding array<double>")
+    got = ann.search(df, df.where("vec_id in (0, 20)"), k=30, least_probes=1).collect()
+    assert {q: sum(r.query_id == q for r in got) for q in (0, 20)} == {0: 30, 20: 30}
+
+
+def test_queries_in_parts(spark, monkeypatch):
+    """A list that many queries probe is worked on in parts of rows and of queries."""
+    df, x = vectors(spark, 600)
+    asked = df.where("vec_id % 3 = 0")
+    want = ann.search(df, asked, k=3).collect()
+    monkeypatch.setattr(ann, "ASK_ROWS", 7)
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 11)
+    got = ann.search(df, asked, k=3).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
 def test_few_vectors(spark):
     df, x = vectors(spark, 51)
     small = df.where("vec_id in (0, 10, 11, 50)")
@@ -246,3 +283,61 @@ def test_quoted_passages(spark):
     assert got[2, 4] == (3, 1, 0)  # two words within a line are no quote of it
     assert got[2, 5] == (3, 2, 2)
     assert got[3, 2] == (2, 2, 0) and got[3, 3] == (3, 2, 1)
+
+
+def talks(rng, n):
+    """Conversations of messages that quote earlier ones whole, wrapped anew, in part, over levels and not at all."""
+    out = []
+    for conv in range(n):
+        own = []
+        for turn in range(rng.randint(1, 14)):
+            lines = []
+            for _ in range(rng.randint(0, 3)):
+                if own and rng.random() < 0.8:
+                    words = rng.choice(own).split()
+                    a = rng.choice([0, 0, rng.randint(0, len(words))])
+                    words = words[a : a + rng.choice([3, 4, 6, 99])]
+                    marks, step = rng.choice(["> ", ">", ">> ", "> > ", " >\t"]), rng.choice([3, 7, 99])
+                    for i in range(0, len(words), step):
+                        lines.append(marks + rng.choice([str.upper, str])(" ".join(words[i : i + step])))
+                        if rng.random() < 0.2:
+                            lines.append(marks)
+                lines += rng.choice([[], [""], [" ".join(rng.choice("a b c dé É".split()) for _ in range(rng.randint(1, 9)))]])
+            text = "\n".join(lines)
+            own += [x for x in text.split("\n") if x.strip() and ">" not in x]
+            out.append((conv, turn * 2, rng.choice(["user", "bot"]), text))
+    return out
+
+
+def test_quotations_against_sql(spark):
+    import duckdb
+    import pandas as pd
+
+    from millrace.llm import queries
+
+    rows = talks(random.Random(21), 120) + [(1000 + c, t, "user", x) for c, t, x in PASSAGES]
+    rows += [(2000, t, "user", "a chain of answers 0" if not t else f"> a chain of answers {t - 1}\na chain of answers {t}") for t in range(40)]
+    rows += [(3000, 0, "user", "all answer this here")] + [(3000, t, "user", f"> all answer this here\nanswer {t}") for t in range(1, 60)]
+    frame = pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"])
+    con = duckdb.connect()
+    con.register("conversations", frame)
+    out = con.execute(queries.OP6_SQL)
+    names = [c[0] for c in out.description]
+    got = chat.link_quotations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5))
+    assert sorted(got.columns) == sorted(names)
+    say = lambda rs: sorted((tuple(r) for r in rs), key=lambda r: r[:2])
+    a, b = say(got.select(*names).collect()), say(out.fetchall())
+    assert [x for x, y in zip(a, b) if x != y][:3] == [y for x, y in zip(a, b) if x != y][:3] and len(a) == len(b) == len(rows)
+    replies, depth = names.index("reply_to"), names.index("depth")
+    assert sum(r[replies] is not None for r in a) > 200 and max(r[depth] for r in a if r[0] == 2000) == 39
+
+
+def test_answers_in_many_ranges(spark):
+    """Answers to one message lie in several ranges, some of them empty; the order goes on over their borders."""
+    df = spark.createDataFrame([(7, 0, t) for t in range(1, 400)] + [(None, 3, t) for t in range(5, 9)], "conv long, up long, turn long").repartition(9)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {(r.conv, r.turn): r.before for r in chat._in_order(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert got == {(7, t): t - 1 if t > 1 else None for t in range(1, 400)} | {(None, t): t - 1 if t > 5 else None for t in range(5, 9)}
