@@ -86,6 +86,8 @@ def shuffle_into_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         if not held:
             return
         whole = pa.Table.from_batches(held)
+        held.clear()
+        whole = whole.combine_chunks()  # rows are taken far faster from one chunk than from hundreds
         order = pa.compute.sort_indices(whole.select(["mr_key", "mr_more"]), sort_keys=[("mr_key", "ascending"), ("mr_more", "ascending")]).to_numpy()
         order = order[np.random.Generator(np.random.PCG64([seed, bucket])).permutation(len(order))]  # Fisher-Yates
         rank = offset + np.arange(len(order), dtype=np.int64)
