@@ -181,6 +181,8 @@ def aggregate(name: str, x: Typed | None, distinct: bool = False) -> Typed:
         return Typed(F.coalesce((F.sum_distinct if distinct else F.sum)(x.col), zero), x.kind)
     if not numeric:
         return Typed(F.max(F.lit(None).cast("double")), "double")
+    if distinct:
+        return Typed(F.try_divide(F.sum_distinct(x.col.cast("double")), F.count_distinct(x.col)), "double")
     return Typed(F.avg(x.col), "double")
 
 

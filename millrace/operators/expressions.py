@@ -51,7 +51,8 @@ class Lowering:
                 return Typed(out.otherwise(cols[-1]), kind)
             case N.Scalar(query):
                 sub = self.query(query)
-                return Typed(sub.df.select(sub.cols[0].id).limit(1).scalar(), sub.cols[0].kind)
+                first = sub.df.orderBy(*sub.order) if sub.order else sub.df  # the first row in order of insertion
+                return Typed(first.select(sub.cols[0].id).limit(1).scalar(), sub.cols[0].kind)
             case N.Agg():
                 raise EngineError(f"{e.name} is not allowed here")
             case _:

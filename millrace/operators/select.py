@@ -217,6 +217,21 @@ def union(left: Relation, right: Relation, every: bool) -> Relation:
         lefts.append(x)
         rights.append(y)
         kinds.append(kind)
-    df = left.df.select(*[x.alias(i) for x, i in zip(lefts, ids)]).union(right.df.select(*[y.alias(i) for y, i in zip(rights, ids)]))
     cols = tuple(RelCol(None, c.name, i, k) for c, i, k in zip(left.cols, ids, kinds))
-    return Relation(df if every else df.distinct(), cols)
+    order: tuple[str, ...] = ()
+    if left.order and right.order:
+        # where both sides have an order, the left one's rows come first; a row has the other side's order as nulls
+        side, firsts, seconds = new_id("side"), [new_id("rid") for _ in left.order], [new_id("rid") for _ in right.order]
+        order = (side, *firsts, *seconds)
+        none = lambda r, names, ids: [F.lit(None).cast(r.df.schema[n].dataType).alias(i) for n, i in zip(names, ids)]
+        lefts_order = [F.lit(0).alias(side), *[F.col(o).alias(i) for o, i in zip(left.order, firsts)], *none(right, right.order, seconds)]
+        rights_order = [F.lit(1).alias(side), *none(left, left.order, firsts), *[F.col(o).alias(i) for o, i in zip(right.order, seconds)]]
+    else:
+        lefts_order = rights_order = []
+    df = left.df.select(*[x.alias(i) for x, i in zip(lefts, ids)], *lefts_order).union(right.df.select(*[y.alias(i) for y, i in zip(rights, ids)], *rights_order))
+    if every:
+        return Relation(df, cols, order)
+    if not order:
+        return Relation(df.distinct(), cols)
+    at = new_id("rid")  # a row's place is that of its first appearance
+    return Relation(df.groupBy(*ids).agg(F.min(F.struct(*order)).alias(at)), cols, (at,))

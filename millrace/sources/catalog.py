@@ -1,17 +1,25 @@
 """Managed tables as versioned Parquet under a root folder, with one JSON manifest.
 
 A write adds Parquet files under a new name and then replaces the manifest in one step, so a statement is seen whole or
-not at all, and DataFrames made before it still read the files they were planned on.  Appending adds a part; updates,
-deletes and alterations write a new set of parts.  Old files go with ``vacuum``.
+not at all, and DataFrames made before it still read the files they were planned on.  Appending adds a part, and merges
+the smaller half of the parts where there are many; updates, deletes and alterations write a new set of parts.  Old files
+go with ``vacuum``.  Changes hold a lock on the root folder and begin from the manifest as it is by then, so several
+engines may write to one root; reads notice a manifest that others have replaced.
+
+The order of insertion is a number per row: the partition that wrote it in the upper bits, its place there in the lower
+ones.  Numbers of rows over a whole table are offsets of partitions plus places within them; nothing is ordered as a whole.
 """
 
 from __future__ import annotations
 
+import fcntl
+import functools
 import json
 import os
 import shutil
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 from typing import Any
 
@@ -28,8 +36,21 @@ from millrace.plans.nodes import ColumnDef
 
 #: The hidden column that keeps the order of insertion.
 RID = "_rid"
-#: Parts of a table beyond which an append writes it anew.
+#: Parts of a table beyond which an append merges the smaller half of them.
 MOST_PARTS = 64
+#: Bits of a row's number that are its place within the partition that wrote it.
+PLACE_BITS = 33
+
+
+def _change(method: Callable[..., Any]) -> Callable[..., Any]:
+    """A method that changes the manifest: alone, and from its present state on."""
+
+    @functools.wraps(method)
+    def run(self: Catalog, *args: Any, **how: Any) -> Any:
+        with self.changing():
+            return method(self, *args, **how)
+
+    return run
 
 
 class Catalog:
@@ -37,13 +58,50 @@ class Catalog:
         self.spark, self.root = spark, Path(root)
         self.root.mkdir(parents=True, exist_ok=True)
         self._at = self.root / "manifest.json"
-        self._m: dict[str, Any] = json.loads(self._at.read_text()) if self._at.exists() else {"tables": {}, "views": {}, "indexes": {}}
+        self._held: dict[str, Any] | None = None
+        self._seen: tuple[int, int] | None = None
+        self._depth = 0
 
     # -- manifest
+    def _stamp(self) -> tuple[int, int] | None:
+        try:
+            s = self._at.stat()
+        except FileNotFoundError:
+            return None
+        return s.st_ino, s.st_mtime_ns
+
+    @property
+    def _m(self) -> dict[str, Any]:
+        if self._held is None or (not self._depth and self._stamp() != self._seen):
+            self._seen = self._stamp()
+            self._held = json.loads(self._at.read_text()) if self._seen else {"tables": {}, "views": {}, "indexes": {}}
+        return self._held
+
+    @contextmanager
+    def changing(self) -> Iterator[None]:
+        """Holds the root folder's lock; the outermost one begins from the manifest as it is then. What a failed change
+        left in memory is dropped."""
+        if self._depth:
+            yield
+            return
+        with open(self.root / ".lock", "w") as lock:
+            fcntl.flock(lock, fcntl.LOCK_EX)
+            self._held = None
+            _ = self._m
+            self._depth = 1
+            try:
+                yield
+            except BaseException:
+                self._held = None
+                raise
+            finally:
+                self._depth = 0
+
     def _save(self) -> None:
         part = self.root / f".manifest-{uuid.uuid4().hex}"
         part.write_text(json.dumps(self._m, indent=1))
         os.replace(part, self._at)
+        self._seen = self._stamp()
 
     def _table(self, name: str) -> dict[str, Any]:
         if name not in self._m["tables"]:
@@ -77,7 +135,10 @@ class Catalog:
         """All rows, with the hidden order column."""
         t = self._table(name)
         schema = self.struct(self.load_schema(name))
-        paths = [str(self.root / p) for p in t["parts"]]
+        return self._parts(t["parts"], schema)
+
+    def _parts(self, parts: list[str], schema: T.StructType) -> DataFrame:
+        paths = [str(self.root / p) for p in parts]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def read_rows(self, name: str) -> list[tuple[Any, ...]]:
@@ -85,10 +146,24 @@ class Catalog:
 
     def read_rows_by_numbers(self, name: str, numbers: list[int]) -> list[tuple[Any, ...]]:
         """Rows by their place in order of insertion, from 0."""
-        at = self.read(name).withColumn("_n", F.row_number().over(Window.orderBy(RID)) - 1)
-        return [tuple(r) for r in at.where(F.col("_n").isin(*numbers)).orderBy("_n").drop("_n", RID).collect()] if numbers else []
+        if not numbers:
+            return []
+        rows = self.read(name)
+        part = F.shiftright(RID, PLACE_BITS)
+        before = F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))  # a row a partition
+        parts = rows.groupBy(part.alias("_p")).agg(F.count("*").alias("n")).select("_p", "n", F.coalesce(before, F.lit(0)).alias("_before"))
+        asked = self.spark.createDataFrame([(int(n),) for n in set(numbers)], "_n long")
+        hit = parts.join(asked, (F.col("_n") >= F.col("_before")) & (F.col("_n") < F.col("_before") + F.col("n"))).select("_p", "_before").distinct().collect()
+        if not hit:
+            return []
+        # the partitions that hold them are read, by a range of the row numbers each
+        wanted = functools.reduce(lambda a, b: a | b, [(F.col(RID) >= (r["_p"] << PLACE_BITS)) & (F.col(RID) < ((r["_p"] + 1) << PLACE_BITS)) for r in hit])
+        offset = F.create_map(*[F.lit(x) for r in hit for x in (r["_p"], r["_before"])])
+        at = rows.where(wanted).withColumn("_n", F.row_number().over(Window.partitionBy(part).orderBy(RID)) - 1 + offset[part])
+        return [tuple(r) for r in at.where(F.col("_n").isin(*numbers)).orderBy("_n").drop("_n", RID).collect()]
 
     # -- tables
+    @_change
     def create_table(self, name: str, columns: list[ColumnDef]) -> None:
         if self.table_exists(name):
             raise TableAlreadyExists(name)
@@ -98,6 +173,7 @@ class Catalog:
         self._m["tables"][name] = {"columns": [c.__dict__ for c in columns], "parts": [], "next_rid": 0, "seq": 0}
         self._save()
 
+    @_change
     def drop_table(self, name: str, if_exists: bool = False) -> bool:
         if not self.table_exists(name):
             if if_exists:
@@ -110,9 +186,13 @@ class Catalog:
 
     def _write(self, name: str, df: DataFrame) -> str:
         part = f"{name}/{uuid.uuid4().hex}"
-        df.write.parquet(str(self.root / part))
+        out = df.write.option("parquet.bloom.filter.adaptive.enabled", "true")
+        for column in {x["column"] for x in self._m["indexes"].values() if x["table"] == name}:
+            out = out.option(f"parquet.bloom.filter.enabled#{column}", "true")
+        out.parquet(str(self.root / part))
         return part
 
+    @_change
     def replace(self, name: str, df: DataFrame, change: Callable[[], None] | None = None) -> None:
         """New rows (with the order column) for a table; ``change`` edits the manifest in the same step."""
         part = self._write(name, df)
@@ -121,6 +201,7 @@ class Catalog:
         self._table(name)["parts"] = [part]
         self._save()
 
+    @_change
     def vacuum(self) -> None:
         """Removes files that no table refers to any more."""
         used = {p for t in self._m["tables"].values() for p in t["parts"]}
@@ -130,6 +211,7 @@ class Catalog:
                     if f"{folder.name}/{part.name}" not in used:
                         shutil.rmtree(part)
 
+    @_change
     def add_column(self, name: str, column: ColumnDef) -> None:
         columns = self.load_schema(name)
         if column.name in [c.name for c in columns] or column.name == RID:
@@ -140,6 +222,7 @@ class Catalog:
         new = rows.withColumn(column.name, F.lit(None).cast(SQL_TYPES[column.type][0]))
         self.replace(name, new, lambda: self._set_columns(name, [*columns, column]))
 
+    @_change
     def drop_column(self, name: str, column: str) -> None:
         columns = self.load_schema(name)
         self.column(name, column)
@@ -155,6 +238,7 @@ class Catalog:
 
         self.replace(name, self.read(name).drop(column), change)
 
+    @_change
     def rename_column(self, name: str, old: str, new: str) -> None:
         columns = self.load_schema(name)
         self.column(name, old)
@@ -170,6 +254,7 @@ class Catalog:
 
         self.replace(name, self.read(name).withColumnRenamed(old, new), change)
 
+    @_change
     def rename_table(self, name: str, new: str) -> None:
         self._table(name)
         if new == name:
@@ -190,6 +275,7 @@ class Catalog:
                     c["references"] = list(to(tuple(c["references"])))
 
     # -- views
+    @_change
     def create_view(self, name: str, text: str) -> None:
         if name in self._m["views"]:
             raise TableAlreadyExists(name)
@@ -202,6 +288,7 @@ class Catalog:
     def view_exists(self, name: str) -> bool:
         return name in self._m["views"]
 
+    @_change
     def drop_view(self, name: str, if_exists: bool = False) -> bool:
         if name not in self._m["views"]:
             if if_exists:
@@ -211,13 +298,14 @@ class Catalog:
         self._save()
         return True
 
-    # -- indexes: uniqueness and names; lookups are scans with the filter pushed down
+    # -- indexes: uniqueness, and Bloom filters on the column in every file, by which a lookup passes over row groups
     def load_index_meta(self) -> dict[str, dict[str, Any]]:
         return dict(self._m["indexes"])
 
     def find_index(self, table: str, column: str) -> str | None:
         return next((i for i, x in self._m["indexes"].items() if (x["table"], x["column"]) == (table, column)), None)
 
+    @_change
     def create_index(self, name: str, table: str, column: str, unique: bool = False) -> None:
         if name in self._m["indexes"]:
             raise IndexAlreadyExists(name)
@@ -225,8 +313,11 @@ class Catalog:
         if unique and not self._repeats(self.read(table), column).isEmpty():
             raise DuplicateKey(f"{table}.{column} has repeated values")
         self._m["indexes"][name] = {"table": table, "column": column, "unique": unique}
+        if self._table(table)["parts"]:
+            self.replace(table, self.read(table))
         self._save()
 
+    @_change
     def drop_index(self, name: str) -> None:
         if name not in self._m["indexes"]:
             raise IndexNotFound(name)
@@ -273,6 +364,7 @@ class Catalog:
     def insert_row(self, name: str, values: tuple[Any, ...]) -> int:
         return self.insert_values(name, [values])
 
+    @_change
     def insert_values(self, name: str, rows: list[tuple[Any, ...]]) -> int:
         columns = self.load_schema(name)
         for r in rows:
@@ -282,6 +374,7 @@ class Catalog:
         schema = T.StructType([*self.struct(columns).fields[:-1], T.StructField(RID, T.LongType())])
         return self._append(name, self.spark.createDataFrame([(*r, i) for i, r in enumerate(made)], schema))
 
+    @_change
     def insert_frame(self, name: str, df: DataFrame, kinds: list[str]) -> int:
         """Appends by place, after checking; all rows or none."""
         columns = self.load_schema(name)
@@ -311,12 +404,22 @@ class Catalog:
         start, seq = t["next_rid"], t["seq"]
         given = 0
         if auto:
-            # one counter a table; numbers without gaps need one order over the new rows
-            given = max(rows.agg(*[F.count_if(F.col(a).isNull()) for a in auto]).first())
-            for a in auto:
-                count = F.sum(F.col(a).isNull().cast("long")).over(Window.orderBy(RID))
-                rows = rows.withColumn(a, F.coalesce(F.col(a), F.lit(seq) + count))
+            # one counter a table: partitions are counted first, then number their rows from their own offsets on
+            raw = self._write(name, rows)
+            rows = self._parts([raw], self.struct(columns))
+            part = F.shiftright(RID, PLACE_BITS)
+            upto = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+            counts = rows.groupBy(part.alias("_p")).agg(*[F.count_if(F.col(a).isNull()).alias(f"n{i}") for i, a in enumerate(auto)])
+            offsets = counts.select("_p", *[F.coalesce(F.sum(f"n{i}").over(upto), F.lit(0)).alias(f"before{i}") for i in range(len(auto))])
+            given = max(x or 0 for x in counts.agg(*[F.sum(f"n{i}") for i in range(len(auto))]).first())
+            rows = rows.withColumn("_p", part).join(offsets, "_p")
+            for i, a in enumerate(auto):
+                count = F.sum(F.col(a).isNull().cast("long")).over(Window.partitionBy("_p").orderBy(RID))
+                rows = rows.withColumn(a, F.coalesce(F.col(a), F.lit(seq) + F.col(f"before{i}") + count))
+            rows = rows.select(*self.struct(columns).names)
         staged = self._write(name, rows.withColumn(RID, F.col(RID) + start))
+        if auto:
+            shutil.rmtree(self.root / raw, ignore_errors=True)
         new = self.spark.read.schema(self.struct(columns)).parquet(str(self.root / staged))
         stats = new.agg(F.count("*"), F.max(RID)).first()
         try:
@@ -336,14 +439,23 @@ class Catalog:
                 self._save()
             raise
         t["parts"] = [*t["parts"], staged]
-        t["next_rid"] = (stats[1] if stats[1] is not None else start - 1) + 1
+        sizes = t.setdefault("rows", {})
+        sizes[staged] = int(stats[0])
+        if stats[1] is not None:
+            t["next_rid"] = ((stats[1] >> PLACE_BITS) + 1) << PLACE_BITS  # so that each append has partitions of its own
         if auto:
             t["seq"] = seq + given
         if len(t["parts"]) > MOST_PARTS:
-            t["parts"] = [self._write(name, self.read(name))]
+            # the smaller half becomes one part, so a row is written again as often as its part's size doubles
+            small = sorted(t["parts"], key=lambda p: sizes.get(p, 1 << 62))[: MOST_PARTS // 2]
+            merged = self._write(name, self._parts(small, self.struct(columns)))
+            sizes[merged] = sum(sizes.get(p, 0) for p in small)
+            t["parts"] = [p for p in t["parts"] if p not in small] + [merged]
+        t["rows"] = {p: n for p, n in sizes.items() if p in t["parts"]}
         self._save()
         return int(stats[0])
 
+    @_change
     def update_frame(self, name: str, new: DataFrame, sets: list[tuple[str, Typed]]) -> int:
         """``new``: the rows with ``_hit``. Uniqueness and parents are checked as on insert."""
         schema = self.struct(self.load_schema(name))
@@ -377,6 +489,7 @@ class Catalog:
         self._save()
         return n
 
+    @_change
     def delete_frame(self, name: str, rows: DataFrame) -> int:
         """``rows`` with ``_hit``; a row whose primary key another row still refers to can't go."""
         gone = rows.where("_hit")
