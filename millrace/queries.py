@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.engine import Engine
+from millrace.__main__ import repl
+from millrace.engine import Engine, scratch_root
+from millrace.errors import ColumnCountMismatch, DuplicateKey, ForeignKeyViolation, IndexAlreadyExists, NullConstraint, TableAlreadyExists, TypeMismatch
+from millrace.sources.rowtext import import_folder
+from millrace.streaming import stream_select, write_stream
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "conversations", "labels", "pages", "benchmark", "embeddings")
 
@@ -92,6 +97,22 @@ SELECTS: dict[str, tuple[str, str | None]] = {
         "SELECT coalesce(SUM(p_size), 0)::BIGINT AS s, AVG(p_size) AS a, MIN(p_name) AS lo, COUNT(p_size) AS n FROM part WHERE 1 = 2",
     ),
     "agg_expression": ("SELECT p_brand, 2 * COUNT(*) + 1 AS n, MAX(p_size) - MIN(p_size) AS w FROM part GROUP BY p_brand", None),
+    "agg_distinct_argument": (
+        "SELECT l_returnflag, AVG(DISTINCT l_linenumber) AS a, SUM(DISTINCT l_linenumber) AS s, COUNT(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY l_returnflag",
+        "SELECT l_returnflag, AVG(DISTINCT l_linenumber) AS a, SUM(DISTINCT l_linenumber)::BIGINT AS s, COUNT(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY l_returnflag",
+    ),
+    "having_without_group": ("SELECT COUNT(*) AS n, MAX(p_size) AS m FROM part HAVING COUNT(*) > 1", "SELECT COUNT(*) AS n, MAX(p_size) AS m FROM part HAVING COUNT(*) > 1"),
+    "default_headers": (
+        "SELECT p_brand, COUNT(*), MAX(p_size), UPPER(p_brand) FROM part GROUP BY p_brand",
+        'SELECT p_brand, COUNT(*) AS "COUNT(*)", MAX(p_size) AS "MAX(p_size)", upper(p_brand) AS "upper(p_brand)" FROM part GROUP BY p_brand',
+    ),
+    "distinct_order_unselected": ("SELECT DISTINCT p_brand FROM part ORDER BY p_partkey LIMIT 5", "SELECT p_brand FROM part GROUP BY p_brand ORDER BY min(p_partkey) LIMIT 5"),
+    "distinct_of_aggregates": ("SELECT DISTINCT COUNT(*) AS n FROM orders GROUP BY o_custkey", None),
+    "join_cte_right": (
+        "WITH per AS (SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY o_custkey) SELECT c.c_custkey, p.n FROM customer c LEFT JOIN per p ON p.o_custkey = c.c_custkey",
+        None,
+    ),
+    "expr_overflow": ("SELECT r_regionkey, r_regionkey + 9223372036854775807 AS x FROM region WHERE r_regionkey = 0", "SELECT r_regionkey, r_regionkey::BIGINT + 9223372036854775807 AS x FROM region WHERE r_regionkey = 0"),
     "distinct": ("SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders", None),
     "order_limit": ("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20", None),
     "order_nulls": (
@@ -179,7 +200,147 @@ MANAGED: dict[str, tuple[str, str, str]] = {
     ),
 }
 
+# -- constraints, names and the API: scripts whose refused statements leave a state to select
+
+_INSERT = "INSERT INTO {t} SELECT s_suppkey, s_name, s_nationkey FROM supplier"
+
+
+def _refused(e: Engine, *statements: tuple[str, type[Exception]]) -> None:
+    """Runs statements, each of which must fail by its error."""
+    for text, error in statements:
+        try:
+            e.script(text)
+        except error:
+            continue
+        raise AssertionError(f"{text} should be refused")
+
+
+def _state(create: str, fill: str, refused: tuple[tuple[str, type[Exception]], ...], more: str, ask: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        e = Engine(spark).register_parquet(sf_dir, "supplier", "nation", "region")
+        e.script(create)
+        e.script(fill)
+        _refused(e, *refused)
+        if more:
+            e.script(more)
+        return e.select(ask)
+
+    return run
+
+
+_ALL = "SELECT s_suppkey AS id, s_name AS name, s_nationkey::BIGINT AS nation FROM supplier"
+_TABLE = "CREATE TABLE t (id INT{key}, name VARCHAR(30){name}, nation INT{nation})"
+
+
+def _t(key: str = "", name: str = "", nation: str = "") -> str:
+    return _TABLE.format(key=key, name=name, nation=nation)
+
+
+_NATIONS = "CREATE TABLE n (k INT PRIMARY KEY, label VARCHAR); INSERT INTO n SELECT n_nationkey, n_name FROM nation; "
+_FILL = _INSERT.format(t="t")
+
+#: name: (tables, rows, what is refused and why, what goes on, the question, DuckDB's SQL for the answer)
+STATES: dict[str, tuple[str, str, tuple[tuple[str, type[Exception]], ...], str, str, str]] = {
+    "constraint_arity": (_t(), _FILL, (("INSERT INTO t VALUES (1, 'x')", ColumnCountMismatch), ("INSERT INTO t SELECT id, name FROM t", ColumnCountMismatch)), "", "SELECT * FROM t", _ALL),
+    "constraint_types": (_t(), _FILL, (("INSERT INTO t VALUES ('one', 'x', 1)", TypeMismatch), ("UPDATE t SET nation = 'x'", TypeMismatch), ("INSERT INTO t SELECT name, name, id FROM t", TypeMismatch)), "", "SELECT * FROM t", _ALL),
+    "constraint_auto_increment": (
+        _t(key=" PRIMARY KEY AUTO_INCREMENT"), "INSERT INTO t SELECT NULLIF(1, 1), s_name, s_nationkey FROM supplier ORDER BY s_suppkey", (("INSERT INTO t VALUES (1, 'again', 0)", DuplicateKey),),
+        "INSERT INTO t VALUES (NULL, 'next', 7)", "SELECT * FROM t",
+        "SELECT row_number() OVER (ORDER BY s_suppkey) AS id, s_name AS name, s_nationkey::BIGINT AS nation FROM supplier UNION ALL SELECT count(*) + 1, 'next', 7 FROM supplier",
+    ),
+    "constraint_not_null": (_t(name=" NOT NULL"), _FILL, (("INSERT INTO t VALUES (0, NULL, 1)", NullConstraint), ("UPDATE t SET name = NULL WHERE id = 1", NullConstraint), ("INSERT INTO t SELECT id, NULLIF(name, name), nation FROM t", NullConstraint)), "", "SELECT * FROM t", _ALL),
+    "constraint_primary_key": (_t(key=" PRIMARY KEY"), _FILL, ((_FILL, DuplicateKey), ("INSERT INTO t VALUES (NULL, 'x', 1)", NullConstraint), ("UPDATE t SET id = 5", DuplicateKey)), "INSERT INTO t VALUES (-1, 'new', NULL)", "SELECT * FROM t", _ALL + " UNION ALL SELECT -1, 'new', NULL"),
+    "constraint_unique": (_t(name=" UNIQUE"), _FILL, (("INSERT INTO t SELECT id + 1000000, name, nation FROM t", DuplicateKey),), "INSERT INTO t VALUES (-1, NULL, 1), (-2, NULL, 1)", "SELECT * FROM t", _ALL + " UNION ALL SELECT -1, NULL, 1 UNION ALL SELECT -2, NULL, 1"),
+    "unique_index": (
+        _t(), _FILL + "; INSERT INTO t VALUES (-1, 'twice', 0), (-2, 'twice', 0); CREATE UNIQUE INDEX u ON t (id)",
+        (("INSERT INTO t VALUES (1, 'again', 0)", DuplicateKey), ("CREATE UNIQUE INDEX v ON t (name)", DuplicateKey), ("CREATE INDEX u ON t (name)", IndexAlreadyExists)),
+        "DROP INDEX u; INSERT INTO t VALUES (1, 'again', 0); CREATE INDEX u ON t (nation)", "SELECT * FROM t", _ALL + " UNION ALL SELECT -1, 'twice', 0 UNION ALL SELECT -2, 'twice', 0 UNION ALL SELECT 1, 'again', 0",
+    ),
+    "foreign_keys": (
+        _NATIONS + _t(nation=" REFERENCES n(k)"), _FILL,
+        (("INSERT INTO t VALUES (0, 'x', 99)", ForeignKeyViolation), ("UPDATE t SET nation = 99", ForeignKeyViolation), ("DELETE FROM n WHERE k IN (SELECT nation FROM t)", ForeignKeyViolation), ("ALTER TABLE n DROP COLUMN k", ForeignKeyViolation)),
+        "INSERT INTO t VALUES (0, 'x', NULL); DELETE FROM t WHERE nation = 3; DELETE FROM n WHERE k = 3", "SELECT t.id, t.nation, n.label FROM t LEFT JOIN n ON t.nation = n.k",
+        "SELECT s_suppkey AS id, s_nationkey::BIGINT AS nation, n_name AS label FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE n_nationkey <> 3 UNION ALL SELECT 0, NULL, NULL",
+    ),
+    "index_upkeep": (
+        _t(), _FILL + "; CREATE INDEX i ON t (nation)", (), "UPDATE t SET nation = 77 WHERE nation = 3; DELETE FROM t WHERE nation = 4; INSERT INTO t VALUES (0, 'x', 77); ALTER TABLE t RENAME COLUMN nation TO land; ALTER TABLE t RENAME TO u; DROP INDEX i; CREATE INDEX i ON u (land)",
+        "SELECT id, land FROM u WHERE land = 77", "SELECT s_suppkey AS id, 77::BIGINT AS land FROM supplier WHERE s_nationkey = 3 UNION ALL SELECT 0, 77",
+    ),
+    "drop_table": (_t(), _FILL, (("CREATE TABLE t (a INT)", TableAlreadyExists),), "DROP TABLE t; DROP TABLE IF EXISTS t; CREATE TABLE t (only VARCHAR); INSERT INTO t SELECT r_name FROM region", "SELECT * FROM t", "SELECT r_name AS only FROM region"),
+    "drop_view": (_t(), _FILL + "; CREATE VIEW v AS SELECT id FROM t", (("CREATE VIEW v AS SELECT name FROM t", TableAlreadyExists),), "DROP VIEW v; DROP VIEW IF EXISTS v; CREATE VIEW v AS SELECT name FROM t WHERE nation = 1", "SELECT v.name, r.r_name FROM region r JOIN v ON r.r_regionkey = 1", "SELECT s_name AS name, r_name FROM supplier, region WHERE s_nationkey = 1 AND r_regionkey = 1"),
+    "names_resolve": (
+        _t(), _FILL + "; CREATE TABLE w (id INT); INSERT INTO w VALUES (1); CREATE VIEW w AS SELECT id FROM t WHERE nation = 2", (),
+        "", "WITH t AS (SELECT r_regionkey AS id FROM region) SELECT 'cte' AS place, id FROM t UNION ALL SELECT 'view', id FROM w",
+        "SELECT 'cte' AS place, r_regionkey AS id FROM region UNION ALL SELECT 'view', s_suppkey FROM supplier WHERE s_nationkey = 2",
+    ),
+    "scalar_first_row": (_t(), "INSERT INTO t SELECT s_suppkey, s_name, s_nationkey FROM supplier ORDER BY s_suppkey DESC", (), "", "SELECT r_name, (SELECT id FROM t) AS first FROM region", "SELECT r_name, (SELECT max(s_suppkey) FROM supplier) AS first FROM region"),
+}
+
+
+def _row_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = Engine(spark).register_parquet(sf_dir, "supplier")
+    e.script(_t() + "; INSERT INTO t SELECT s_suppkey, s_name, s_nationkey FROM supplier ORDER BY s_suppkey; INSERT INTO t VALUES (-5, 'last', NULL)")
+    return spark.createDataFrame(e.catalog.read_rows_by_numbers("t", [0, 3, 7, 10]), "id long, name string, nation long")
+
+
+def _index_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = Engine(spark).register_parquet(sf_dir, "supplier")
+    e.script(_t() + "; " + _FILL + "; CREATE INDEX i ON t (nation)")
+    return e.catalog.lookup_index("i", 7)
+
+
+def _listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = Engine(spark).register_parquet(sf_dir, "region")
+    e.script("CREATE TABLE zeta (a INT PRIMARY KEY, b VARCHAR(9) NOT NULL); CREATE TABLE alpha (c INT REFERENCES zeta(a)); CREATE INDEX i ON zeta (b)")
+    c = e.catalog
+    rows = [("table", t, ", ".join(x.name for x in c.load_schema(t))) for t in c.list_tables()] + [("index", i, x["table"]) for i, x in c.load_index_meta().items()]
+    rows += [("name", t, None) for t in e.tables()]
+    return spark.createDataFrame(rows, "kind string, name string, detail string")
+
+
+def _console(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the console says, dot commands included, line by line."""
+    said: list[str] = []
+    lines = ["CREATE TABLE t (id INT PRIMARY KEY, x DOUBLE, ok BOOLEAN)", "INSERT INTO t VALUES (1, 0.5, TRUE), (2, NULL, FALSE)", ".tables", ".schema t", "SELECT id, x, ok FROM t ORDER BY id", "SELECT * FROM nope", ".quit", "SELECT 1"]
+    repl(Engine(spark), lines, said.append)
+    rows = [(i, line) for i, line in enumerate("\n".join(said).split("\n"))]
+    return spark.createDataFrame(rows, "line long, said string")
+
+
+def _row_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions, written as tagged row text and imported."""
+    e = Engine(spark)
+    folder = Path(scratch_root(spark))
+    folder.mkdir(parents=True, exist_ok=True)
+    (folder / "land.schema").write_text("land\nid:INT:PRIMARY_KEY\nlabel:VARCHAR(30):NOT_NULL\nsize:DOUBLE\n")
+    regions = [r["r_name"] for r in spark.read.parquet(f"{sf_dir}/region.parquet").orderBy("r_regionkey").collect()]  # five rows
+    (folder / "land.data").write_text("".join(f"INT:{i}|STRING:{name}\\|{i}|{'NULL' if i == 2 else f'FLOAT:{i}.5'}\n" for i, name in enumerate(regions)))
+    import_folder(e.catalog, str(folder))
+    return e.select("SELECT * FROM land")
+
+
+def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A SELECT over orders as a stream, all that is there, into Parquet."""
+    folder = scratch_root(spark)
+    static = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    stream = spark.readStream.schema(static.schema).option("pathGlobFilter", "orders.parquet").parquet(sf_dir)
+    out = stream_select(Engine(spark), "o", stream, "SELECT o_orderkey, o_totalprice * 2 AS twice FROM o WHERE o_orderstatus = 'F' AND NOT o_totalprice < 100000")
+    write_stream(out, f"{folder}/out", f"{folder}/seen", once=True).awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{folder}/out")
+
+
+API: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
+    "row_numbers": (_row_numbers, "SELECT s_suppkey AS id, s_name AS name, s_nationkey::BIGINT AS nation FROM (SELECT *, row_number() OVER (ORDER BY s_suppkey) - 1 AS n FROM supplier) WHERE n IN (0, 3, 7, 10) UNION ALL SELECT -5, 'last', NULL FROM (SELECT count(*) AS n FROM supplier) WHERE n IN (0, 3, 7, 10)"),
+    "index_lookup": (_index_lookup, _ALL + " WHERE s_nationkey = 7"),
+    "listing": (_listing, "SELECT * FROM (VALUES ('table', 'alpha', 'c'), ('table', 'zeta', 'a, b'), ('index', 'i', 'zeta'), ('name', 'alpha', NULL), ('name', 'region', NULL), ('name', 'zeta', NULL)) v(kind, name, detail)"),
+    "console": (_console, "SELECT row_number() OVER () - 1 AS line, said FROM (SELECT unnest(['table t created', '2 rows inserted', 't', 'id INT PRIMARY KEY', 'x DOUBLE', 'ok BOOLEAN', 'id | x    | ok', '---+------+------', '1  | 0.5  | TRUE', '2  | NULL | FALSE', '(2 rows)', 'TableNotFound: nope']) AS said)"),
+    "row_text_import": (_row_text, "SELECT r_regionkey AS id, r_name || '|' || r_regionkey AS label, CASE WHEN r_regionkey <> 2 THEN r_regionkey + 0.5::DOUBLE END AS size FROM region"),
+    "stream_select": (_streamed, "SELECT o_orderkey, o_totalprice * 2 AS twice FROM orders WHERE o_orderstatus = 'F' AND NOT o_totalprice < 100000"),
+}
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _select(text) for name, (text, _) in SELECTS.items()}
 QUERIES |= {"view": _view} | {name: _managed(changes, ask) for name, (changes, ask, _) in MANAGED.items()}
 ORACLES: dict[str, str] = {name: duck or text for name, (text, duck) in SELECTS.items()}
 ORACLES |= {"view": "SELECT n_name AS name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'EUROPE'"} | {name: duck for name, (_, _, duck) in MANAGED.items()}
+QUERIES |= {name: _state(*parts) for name, (*parts, _) in STATES.items()} | {name: run for name, (run, _) in API.items()}
+ORACLES |= {name: duck for name, (*_, duck) in STATES.items()} | {name: duck for name, (_, duck) in API.items()}
