@@ -42,3 +42,8 @@ def test_near_dedup_of_null_and_repeated_ids(spark, docs):
     kept = corpus_pipeline.near_dedup(spark, df, "")
     assert kept.columns == docs.columns
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([(5, words("a")), (6, words("b")), (6, words("c")), (None, words("d")), (None, None), (None, None), (7, "")], key=repr)
+
+
+def test_an_empty_table(spark, docs, tmp_path):
+    docs.where("1 = 0").write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
