@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import bpe, lines, minhash, mixing, quality
-from millrace.llm._shared import settled
+from millrace.llm._shared import settled, unsettle
 from millrace.llm.queries import tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -66,8 +66,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``, each written to the shared folder and read again; a stage's table goes once the
+    next one is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         docs = settled(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before is not None:
+            unsettle(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
