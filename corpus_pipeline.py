@@ -33,8 +33,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five words, similarity 0.8) stays: the one with the smallest id.
 
-    Rows are numbered in order of id (a null one last) and text, and compared by number, so rows without an id and rows
-    that repeat one take part like all others."""
+    Rows are numbered in order of id (a null one last) and hashes of the text, and compared by number, so rows without an
+    id and rows that repeat one take part like all others."""
     numbered = settled(_numbered(docs.select(*COLUMNS)), "numbered")
     judged = minhash.near_duplicates(numbered, id_col="row", k=5, percent=80)
     gone = judged.where("not kept").select(F.col("doc_id").alias("row"))
@@ -42,8 +42,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with row: unique, and in order of doc_id (nulls last), then text. Sorted in ranges, so no task has all."""
-    order = [F.asc_nulls_last("doc_id"), F.xxhash64("text").asc(), F.asc("text")]
+    """``docs`` with row: unique, and in order of doc_id (nulls last), then two hashes of the text. Sorted in ranges, so no
+    task has all; the driver's sample for the ranges holds the keys, so texts are none of them."""
+    order = [F.asc_nulls_last("doc_id"), F.xxhash64("text").asc(), F.xxhash64(F.lit(1), "text").asc()]
     return docs.orderBy(*order).withColumn("row", F.monotonically_increasing_id())
 
 
