@@ -182,6 +182,61 @@ def test_recall_and_lists_probed(spark, n, caplog):
     assert len(found) == n // 50 and hits / (5 * len(found)) >= 0.9
 
 
+def other_rows(kind, n=6000, d=32):
+    """Vectors of kinds that codes, single precision or a sample of the rows tell little about; every 50th is a query."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(n, d))
+    if kind in ("close", "closest"):
+        x = rng.normal(size=(12, d))[rng.integers(0, 12, n)] + {"close": 1e-2, "closest": 1e-6}[kind] * x
+    elif kind == "a close third":
+        x[::3] = x[1] + 1e-4 * x[::3]
+    elif kind == "far from zero":
+        x += 3000
+    elif kind == "queries unlike rows":
+        x = rng.normal(size=(60, d))[rng.integers(0, 60, n)] + 0.3 * x
+        x[::50] = rng.normal(size=(n // 50, d))
+    elif kind == "ties":
+        x = np.sign(x[:, :12]) + 0.0
+        x = np.concatenate([x, (rng.random((n, d - 12)) < 0.1) * 1.0], axis=1)
+    return x
+
+
+@pytest.mark.parametrize("kind", ["close", "closest", "a close third", "far from zero", "queries unlike rows", "ties"])
+def test_recall_on_other_rows(spark, kind):
+    x = other_rows(kind)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    got = ann.search(df, df.where("vec_id % 50 = 0"), k=5, least_probes=4, refine=50).collect()
+    found = {}
+    for r in got:
+        found.setdefault(r.query_id, []).append(r)
+    assert set(found) == set(range(0, len(x), 50)) and all(len(v) == 5 for v in found.values())
+    long, hits = np.sqrt((x * x).sum(axis=1)), 0
+    for q, near in found.items():
+        want = (x * x[q]).sum(axis=1) / (long * long[q])
+        assert all(r.score == pytest.approx(want[r.vec_id], abs=1e-14) for r in near)
+        want[q] = -9
+        cut = np.sort(want)[-5] - 1e-15 * len(x[q])
+        hits += sum(want[r.vec_id] >= cut for r in near)
+        same = {}
+        for r in near:
+            same.setdefault(r.score, []).append(r.vec_id)
+        assert all(v == sorted(v) for v in same.values())
+    assert hits / (5 * len(found)) >= 0.95
+
+
+def test_lists_hide_no_nearer_vector(spark):
+    """With all lists looked into the result is that of a comparison with every row, in order and to the last id."""
+    for kind in ("close", "a close third", "ties"):
+        x = other_rows(kind, 2000)
+        df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+        got = ann.search(df, df.where("vec_id % 50 = 0"), k=5, least_probes=10**6, refine=5).collect()
+        long = np.sqrt(ann._products(x, every := np.arange(len(x)), x, every))
+        for q in range(0, len(x), 50):
+            score = ann._products(x, np.full(len(x), q), x, every) / (long * long[q])
+            want = sorted((-s, i) for i, s in enumerate(score) if i != q)[:5]
+            assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == [i for _, i in want]
+
+
 def test_lists_with_few_rows_are_not_the_end(spark):
     """Where the nearest lists hold fewer vectors than asked for, more are looked into."""
     x = [[float(np.cos(i / 9)), float(np.sin(i / 9))] for i in range(40)]
